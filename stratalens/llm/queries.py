@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from stratalens.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from stratalens.llm.line_dedup import OP4_SQL, op4_line_dedup
 from stratalens.llm.simhash_dedup import op5_simhash_dedup
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_line_dedup": op4_line_dedup,
     "op5_simhash_dedup": op5_simhash_dedup,
 }
 
 ORACLE_SQL = {
     "op2_exact_dedup": OP2_SQL,
+    "op4_line_dedup": OP4_SQL,
 }
