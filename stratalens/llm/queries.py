@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from stratalens.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from stratalens.llm.line_dedup import OP4_SQL, op4_line_dedup
+from stratalens.llm.packing import op3_best_fit_packing
 from stratalens.llm.simhash_dedup import op5_simhash_dedup
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_line_dedup": op4_line_dedup,
     "op5_simhash_dedup": op5_simhash_dedup,
 }
