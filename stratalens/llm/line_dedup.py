@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.llm.common import documents, free_name, materialise, shuffle_width, text_or_empty, without
+from stratalens.llm.common import documents, free_name, materialise, shuffle_width, small_batches, text_or_empty, trimmed, without
 
 #: Bits of each filter, as a power of two; so the broadcast filter has 8 MB at most.
 FILTER_BITS = 26
@@ -173,13 +173,17 @@ def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
         raise ValueError("keep is 'none' or 'first'")
     spark = df.sparkSession
     text = text_or_empty(text_col)
-    segments = df.select(text.alias("text")).mapInArrow(_fill(filter_bits, min_chars), "segment int, once binary, twice binary")
-    merged = segments.repartition(min(shuffle_width(spark), 1 << max(0, filter_bits - SEGMENT_BITS)), "segment").mapInArrow(_merge_segments, "segment int, once binary, twice binary")
-    twice = spark.sparkContext.broadcast([(r.segment, bytes(r.twice)) for r in merged.collect()])  # 2^filter_bits bits at most
+    segments = df.select(text.alias("text")).mapInArrow(trimmed(_fill(filter_bits, min_chars)), "segment int, once binary, twice binary")
+    merged = segments.repartition(min(shuffle_width(spark), 1 << max(0, filter_bits - SEGMENT_BITS)), "segment").mapInArrow(trimmed(_merge_segments), "segment int, once binary, twice binary")
+    with small_batches(spark):
+        found = merged.collect()
+    twice = spark.sparkContext.broadcast([(r.segment, bytes(r.twice)) for r in found])  # 2^filter_bits bits at most
 
     doc = F.col(f"`{id_col}`").cast("long")
     row_a, row_b = F.xxhash64(doc, text), F.xxhash64(text, F.lit(1), doc)
-    entries = materialise(df.select(text.alias("text"), doc.alias("id"), row_a.alias("a"), row_b.alias("b")).mapInArrow(_suspects(filter_bits, min_chars, twice), "digest binary, n_docs long, row_a array<long>, row_b array<long>, at array<int>, first_id long, first_a long, first_b long, first_at int"), "suspects")
+    suspected = df.select(text.alias("text"), doc.alias("id"), row_a.alias("a"), row_b.alias("b")).mapInArrow(trimmed(_suspects(filter_bits, min_chars, twice)), "digest binary, n_docs long, row_a array<long>, row_b array<long>, at array<int>, first_id long, first_a long, first_b long, first_at int")
+    with small_batches(spark):
+        entries = materialise(suspected, "suspects")
     first = F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "first_a", "first_b", "first_at"))
     confirmed = entries.groupBy("digest").agg(F.sum("n_docs").alias("n"), first.alias("first")).where(F.col("n") >= min_docs)
     gone = entries.select("digest", F.arrays_zip("row_a", "row_b", "at").alias("rows")).join(confirmed, "digest").select("first", F.explode("rows").alias("row"))
@@ -194,7 +198,7 @@ def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     parts = joined.withColumn(lines, F.split(text, "\n", -1)).withColumn(left, F.when(F.col("__gone").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))))
     kept = F.when(F.col(left).isNull(), text).otherwise(F.array_join(F.transform(F.col(left), lambda i: F.get(F.col(lines), i)), "\n"))
     dropped = F.when(F.col(left).isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(left))
-    return parts.select(*(kept.alias(c) if c.lower() == text_col.lower() else F.col(f"`{c}`") for c in whole.columns), F.size(lines).cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"))
+    return parts.select(*(kept.alias(c) if c.lower() == text_col.lower() else F.col(f"`{c}`") for c in whole.columns), (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
