@@ -131,13 +131,13 @@ def _pieces(path: str, max_len: int, end_id: int, with_ids: bool):
     schema = pa.schema(fields + [("ids", pa.list_(pa.int64()))] * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, part = encoder(path).encode, np.array([end_id], np.uint32).tobytes(), TaskContext.get().partitionId()
+        encode_many, end, part = encoder(path).encode_many, np.array([end_id], np.uint32).tobytes(), TaskContext.get().partitionId()
         met: Counter = Counter()
         rows: list[tuple] = []
         give = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py()) + end
+            for doc, ids in zip(batch.column(0).to_pylist(), encode_many(batch.column(1).to_pylist())):
+                ids += end
                 for piece, (start, length) in enumerate(cut(len(ids) // 4, max_len)):
                     own = ids[4 * start : 4 * (start + length)]
                     row = (part, doc, piece, start, length, zlib.crc32(own), met[length])
@@ -186,7 +186,7 @@ def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     own = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
-    ranked = pieces.join(base, ["part", "length"]).select(*own, (F.col("base") + F.col("nth")).alias("rank"))
+    ranked = pieces.join(base.hint("merge"), ["part", "length"]).select(*own, (F.col("base") + F.col("nth")).alias("rank"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + extra + ", sequence_id long, offset long"
     return ranked.mapInArrow(_place(layout), schema)
 

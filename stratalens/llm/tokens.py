@@ -8,6 +8,7 @@ met in a table of bounded size.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -15,10 +16,12 @@ from tokenizers import Tokenizer
 
 #: White space as the tokenizers' patterns have it (Unicode's White_Space property).
 SPACE = "\t-\r \x85\xa0  -     　"
+#: Letters that both patterns know as such; a word of them may be cut off ahead of a full stop or comma.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Byte-level pre-tokens take one blank ahead of a word; of more white space the last character stands alone.
-BLANK_AHEAD = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+BLANK_AHEAD = re.compile(f" ?[{LETTERS}]++(?![^{SPACE}.,])| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Where white space is dropped, the words between are the pieces.
-WORDS_ONLY = re.compile(f"[^{SPACE}]+")
+WORDS_ONLY = re.compile(f"[{LETTERS}]++(?![^{SPACE}.,])|[^{SPACE}]+")
 #: A special token's string; stands between the pieces that are encoded together.
 SEPARATOR = "<|endoftext|>"
 
@@ -26,7 +29,7 @@ SEPARATOR = "<|endoftext|>"
 class Encoder:
     """Encodes with one vocabulary file; ``most`` bounds the pieces that each of two tables keeps."""
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    def __init__(self, path: str, most: int = 500_000) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -40,8 +43,8 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         plain = [p for p in pieces if len(p) < 200] if self.separator is not None else []
-        for at in range(0, len(plain), 4_000):
-            some = plain[at : at + 4_000]
+        for at in range(0, len(plain), 2_000):
+            some = plain[at : at + 2_000]
             ids = np.array(self.tokenizer.encode(SEPARATOR.join(some), add_special_tokens=False).ids, np.uint32)
             ends = np.flatnonzero(ids == self.separator)
             if len(ends) != len(some) - 1:
@@ -56,23 +59,34 @@ class Encoder:
             if p not in self.known:
                 self.known[p] = self._whole(p)
 
-    def encode(self, text: str) -> bytes:
-        """The ids of a whole text, each as four bytes, little-endian."""
-        if "<|" in text:  # perhaps a special token, which ends white space as the end of a text does
-            return self._whole(text)
-        pieces = self.cut.findall(text)
-        distinct = set(pieces)
+    def encode_many(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each whole text, each id as four bytes, little-endian."""
+        at = 0
+        while at < len(texts):
+            size, end = 0, at
+            while end < len(texts) and size < 2_000_000:  # characters cut at a time, and one text more
+                size += len(texts[end])
+                end += 1
+            # "<|": perhaps a special token, which ends white space as the end of a text does
+            cut = [None if "<|" in text else self.cut.findall(text) for text in texts[at:end]]
+            self._meet(set().union(*filter(None, cut)))
+            for text, pieces in zip(texts[at:end], cut):
+                yield self._whole(text) if pieces is None else b"".join(map(self.known.__getitem__, pieces))
+            at = end
+
+    def _meet(self, pieces: set[str]) -> None:
+        """See that all these pieces are known."""
         if len(self.known) > self.most:
             self.known, self.older = {}, self.known
-        new = [p for p in distinct if p not in self.known]
-        if new:
-            if self.older:
-                for p in new:
-                    if p in self.older:
-                        self.known[p] = self.older[p]
-                new = [p for p in new if p not in self.known]
-            self._learn(new)
-        return b"".join(map(self.known.__getitem__, pieces))
+        new = pieces.difference(self.known)
+        if self.older:
+            again = {p: self.older[p] for p in new if p in self.older}
+            self.known |= again
+            new = new.difference(again)
+        self._learn(list(new))
+
+    def encode(self, text: str) -> bytes:
+        return next(self.encode_many([text]))
 
 
 @lru_cache(maxsize=4)
