@@ -6,8 +6,10 @@ from stratalens.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from stratalens.llm.line_dedup import OP4_SQL, op4_line_dedup
 from stratalens.llm.packing import op3_best_fit_packing
 from stratalens.llm.simhash_dedup import op5_simhash_dedup
+from stratalens.llm.topk_search import OP1_SQL, op1_topk_search
 
 QUERIES = {
+    "op1_topk_search": op1_topk_search,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_line_dedup": op4_line_dedup,
@@ -15,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_topk_search": OP1_SQL,
     "op2_exact_dedup": OP2_SQL,
     "op4_line_dedup": OP4_SQL,
 }
