@@ -35,7 +35,7 @@ class Encoder:
         self.tokenizer.no_padding()
         self.separator = self.tokenizer.token_to_id(SEPARATOR)
         kind = self.tokenizer.normalizer
-        self.cut = BLANK_AHEAD if kind is None else WORDS_ONLY
+        self.cut, self.lower = (BLANK_AHEAD, False) if kind is None else (WORDS_ONLY, True)
         self.most, self.known, self.older = most, {}, {}
 
     def _whole(self, text: str) -> bytes:
@@ -68,12 +68,22 @@ class Encoder:
                 size += len(texts[end])
                 end += 1
             # "<|": perhaps a special token, which ends white space as the end of a text does
-            cut = [None if "<|" in text else self.cut.findall(text) for text in texts[at:end]]
+            cut = [None if "<|" in text else self.cut.findall(self._folded(text)) for text in texts[at:end]]
             self._meet(set().union(*filter(None, cut)))
             for text, pieces in zip(texts[at:end], cut):
                 yield self._whole(text) if pieces is None else b"".join(map(self.known.__getitem__, pieces))
             at = end
 
+    def _folded(self, text: str) -> str:
+        """The text in lower case if the vocabulary wants that, and nothing in it can compose or change length."""
+        if self.lower:
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return text
+            return text.lower()
+        return text
+
     def _meet(self, pieces: set[str]) -> None:
         """See that all these pieces are known."""
         if len(self.known) > self.most:
