@@ -16,12 +16,12 @@ from tokenizers import Tokenizer
 
 #: White space as the tokenizers' patterns have it (Unicode's White_Space property).
 SPACE = "\t-\r \x85\xa0  -     　"
-#: Letters that both patterns know as such; a word of them may be cut off ahead of a full stop or comma.
-LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Letters that both patterns know as such. A word of them ends a pre-token ahead of white space and of any ASCII character that is no letter.
+LETTERS, OTHER = "A-Za-zÀ-ÖØ-öø-ÿ", r"\x00-@\[-`{-\x7f"
 #: Byte-level pre-tokens take one blank ahead of a word; of more white space the last character stands alone.
-BLANK_AHEAD = re.compile(f" ?[{LETTERS}]++(?![^{SPACE}.,])| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+BLANK_AHEAD = re.compile(f" ?[{LETTERS}]++(?![^{OTHER}{SPACE}])| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Where white space is dropped, the words between are the pieces.
-WORDS_ONLY = re.compile(f"[{LETTERS}]++(?![^{SPACE}.,])|[^{SPACE}]+")
+WORDS_ONLY = re.compile(f"[{LETTERS}]++(?![^{OTHER}{SPACE}])|[^{SPACE}]+")
 #: A special token's string; stands between the pieces that are encoded together.
 SEPARATOR = "<|endoftext|>"
 
@@ -43,9 +43,10 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         plain = [p for p in pieces if len(p) < 200] if self.separator is not None else []
-        for at in range(0, len(plain), 2_000):
-            some = plain[at : at + 2_000]
-            ids = np.array(self.tokenizer.encode(SEPARATOR.join(some), add_special_tokens=False).ids, np.uint32)
+        for at in range(0, len(plain), 256):
+            some = plain[at : at + 256]
+            (joined,) = self.tokenizer.encode_batch_fast([SEPARATOR.join(some)], add_special_tokens=False)
+            ids = np.array(joined.ids, np.uint32)
             ends = np.flatnonzero(ids == self.separator)
             if len(ends) != len(some) - 1:
                 plain = []
@@ -68,12 +69,27 @@ class Encoder:
                 size += len(texts[end])
                 end += 1
             # "<|": perhaps a special token, which ends white space as the end of a text does
-            cut = [None if "<|" in text else self.cut.findall(self._folded(text)) for text in texts[at:end]]
-            self._meet(set().union(*filter(None, cut)))
-            for text, pieces in zip(texts[at:end], cut):
-                yield self._whole(text) if pieces is None else b"".join(map(self.known.__getitem__, pieces))
+            cut = [[] if "<|" in text else self.cut.findall(self._folded(text)) for text in texts[at:end]]
+            found = [list(map(self.known.get, pieces)) for pieces in cut]
+            gaps = [self._gaps(ids) for ids in found]
+            self._meet({pieces[i] for pieces, own in zip(cut, gaps) for i in own})
+            for text, pieces, ids, own in zip(texts[at:end], cut, found, gaps):
+                for i in own:
+                    ids[i] = self.known[pieces[i]]
+                yield b"".join(ids) if pieces else self._whole(text)
             at = end
 
+    @staticmethod
+    def _gaps(ids: list) -> list[int]:
+        """Where the list has None."""
+        out, at = [], -1
+        try:
+            while True:
+                at = ids.index(None, at + 1)
+                out.append(at)
+        except ValueError:
+            return out
+
     def _folded(self, text: str) -> str:
         """The text in lower case if the vocabulary wants that, and nothing in it can compose or change length."""
         if self.lower:
@@ -84,11 +100,10 @@ class Encoder:
             return text.lower()
         return text
 
-    def _meet(self, pieces: set[str]) -> None:
-        """See that all these pieces are known."""
+    def _meet(self, new: set[str]) -> None:
+        """Learn these pieces."""
         if len(self.known) > self.most:
             self.known, self.older = {}, self.known
-        new = pieces.difference(self.known)
         if self.older:
             again = {p: self.older[p] for p in new if p in self.older}
             self.known |= again
