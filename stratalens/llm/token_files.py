@@ -26,12 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.llm.common import documents, materialise, new_path, shuffle_width, text_or_empty
+from stratalens.llm.common import documents, materialise, new_path, shuffle_width, small_batches, text_or_empty, trimmed
 from stratalens.llm.tokens import encoder
 
 MAGIC, CHUNK, SPAN = b"SLDAC001", 8, 512
 #: Tokens after which a task begins another file.
-FILE_TOKENS = 4_000_000
+FILE_TOKENS = 2_000_000
+#: Pieces that an encoder's table holds: fewer than usual, as its task sorts whole texts as well.
+KNOWN = 180_000
 
 
 def to_bytes(ids: np.ndarray, doc_ids: list[int | None], counts: list[int]) -> bytes:
@@ -126,7 +128,7 @@ def _write(folder: str, path: str, end_id: int):
     schema = pa.schema([("part", pa.int32()), ("nth", pa.int32()), ("path", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_many, end, part, nth = encoder(path).encode_many, np.array([end_id], np.uint32).tobytes(), TaskContext.get().partitionId(), 0
+        encode_many, end, part, nth = encoder(path, KNOWN).encode_many, np.array([end_id], np.uint32).tobytes(), TaskContext.get().partitionId(), 0
         system, root = pyarrow.fs.FileSystem.from_uri(folder)
         docs: list[int | None] = []
         counts: list[int] = []
@@ -171,7 +173,8 @@ def write_token_files(df: DataFrame, folder: str, tokenizer_path: str, end_id: i
     system.create_dir(root)
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("tie"))
     dealt = rows.repartitionByRange(2 * shuffle_width(spark), "id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
-    files = materialise(dealt.mapInArrow(_write(folder, tokenizer_path, end_id), _WRITTEN), "token-files")
+    with small_batches(spark):
+        files = materialise(dealt.mapInArrow(trimmed(_write(folder, tokenizer_path, end_id)), _WRITTEN), "token-files")
     start, found = 0, []
     for f in files.orderBy("part", "nth").collect():  # a row for each file
         found.append((f.path, f.documents, f.tokens, f.bytes, start))
@@ -200,7 +203,7 @@ def read_token_files(files: DataFrame, with_ids: bool = False) -> DataFrame:
     """The documents of the files that ``write_token_files`` has named: doc_id, start, n_tokens, ids_crc32 [, ids]."""
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
     spread = files.select("path", "start").repartition(2 * shuffle_width(files.sparkSession), F.xxhash64("path"))
-    return spread.mapInArrow(_read(with_ids), schema)
+    return spread.mapInArrow(trimmed(_read(with_ids)), schema)
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

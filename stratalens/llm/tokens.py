@@ -115,6 +115,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most: int = 500_000) -> Encoder:
     """This process's encoder for a vocabulary file."""
-    return Encoder(path)
+    return Encoder(path, most)
