@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from stratalens.llm.bpe_stream import op8_bpe_codec
 from stratalens.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from stratalens.llm.line_dedup import OP4_SQL, op4_line_dedup
 from stratalens.llm.packing import op3_best_fit_packing
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_line_dedup": op4_line_dedup,
     "op5_simhash_dedup": op5_simhash_dedup,
+    "op8_bpe_codec": op8_bpe_codec,
     "op9_token_files": op9_token_files,
     "op10_sharding": op10_sharding,
 }
