@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from stratalens.llm.bpe_stream import op8_bpe_codec
 from stratalens.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from stratalens.llm.language_id import op6_language_id
@@ -14,6 +15,7 @@ from stratalens.llm.topk_search import OP1_SQL, op1_topk_search
 from stratalens.llm.toxicity import op7_toxicity
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_topk_search": op1_topk_search,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
