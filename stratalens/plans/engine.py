@@ -15,6 +15,7 @@ from stratalens.operators import adaptive, fusion, graph, lexical, rerank, tags,
 from stratalens.operators.filters import exact_match, history_match, semantic_match
 from stratalens.operators.ranking import ranked
 from stratalens.plans.query import Plan, Query, Snapshot, plan
+from stratalens.sources.store import held, settled
 
 
 @dataclass
@@ -48,14 +49,19 @@ def exact_channel(records: DataFrame, query: Query, generation: int) -> DataFram
     return ranked(first, [F.col("memory_id"), F.col("space_id"), F.col("revision_id")])
 
 
+def _pool(channel: str, hits: DataFrame, **evidence) -> DataFrame:
+    """A channel's rows, at most as many as its limits allow; computed once, as fusion and relations both read them."""
+    return held(fusion.pool_rows(channel, hits, **evidence))
+
+
 def _channels(store: Store, query: Query, p: Plan) -> list[DataFrame]:
     spaces, records, out = list(query.spaces), store.records, []
     hard = {"memories": list(query.memories), "entities": list(query.entities), "tags": list(query.tags)}
     if "exact" in p.channels:
-        out.append(fusion.pool_rows("exact", exact_channel(records, query, p.generation), n_exact=F.lit(2), n_tags=F.size("tags"), n_relations=F.size("relations")))
+        out.append(_pool("exact", exact_channel(records, query, p.generation), n_exact=F.lit(2), n_tags=F.size("tags"), n_relations=F.size("relations")))
     if "lexical" in p.channels:
         hits = lexical.lexical_channel(records, list(query.text), spaces, p.profile.lexical, query.max_results, **hard)
-        out.append(fusion.pool_rows("lexical", hits, n_lexical=F.lit(1)))
+        out.append(_pool("lexical", hits, n_lexical=F.lit(1)))
     match = semantic_match(spaces, p.generation, **hard)
     basis = None
     tag_vectors: list[tuple[str, str, float]] = []
@@ -63,7 +69,7 @@ def _channels(store: Store, query: Query, p: Plan) -> list[DataFrame]:
         search = lambda q, cap: vectors.semantic_channel(store.vectors, records, list(q), match, min(cap, query.max_candidates), query.max_results, store.tombstones)
         one = F.array(F.lit("document"))
         if "semantic-direct" in p.channels:
-            out.append(fusion.pool_rows("semantic-direct", search(query.query_vector, p.profile.semantic), n_semantic=F.lit(1), resolutions=one))
+            out.append(_pool("semantic-direct", search(query.query_vector, p.profile.semantic), n_semantic=F.lit(1), resolutions=one))
         if store.memberships is not None:
             own = store.memberships.join(store.vectors.select("space_id", "memory_id", "vector"), ["space_id", "memory_id"]).where(F.col("space_id").isin(spaces))
             rank = F.when(F.col("provenance") == "explicit", 0.95).otherwise(0.55)
@@ -72,7 +78,7 @@ def _channels(store: Store, query: Query, p: Plan) -> list[DataFrame]:
             basis = vectors.tag_basis(list(query.query_vector), [r.b.vector for r in chosen])
             tag_vectors = [(r.tag, "exact-support" if r.b.provenance == "explicit" else "generated", -r.b[0]) for r in chosen]
         if "semantic-residual" in p.channels and basis is not None and basis.searchable:
-            out.append(fusion.pool_rows("semantic-residual", search(basis.residual.tolist(), p.profile.residual), n_semantic=F.lit(1), resolutions=one))
+            out.append(_pool("semantic-residual", search(basis.residual.tolist(), p.profile.residual), n_semantic=F.lit(1), resolutions=one))
     if "tag-readout" in p.channels and store.memberships is not None and store.edges is not None:
         spark = records.sparkSession
         explicit = [r.t for r in spark.createDataFrame([(t,) for t in query.cue_tags], "t string").select(normalize_tag(F.col("t")).alias("t")).distinct().collect() if r.t]
@@ -80,21 +86,21 @@ def _channels(store: Store, query: Query, p: Plan) -> list[DataFrame]:
         if weights:
             current = records.where(exact_match(spaces, p.generation, [], **hard)).select(*TARGET)
             named = lambda hits: ranked(hits.join(current, ["space_id", "memory_id"]).limit(p.profile.readout), [F.desc("score"), F.col("space_id"), F.col("memory_id"), F.col("tag")])
-            out.append(fusion.pool_rows("tag-readout", named(tags.readout(store.memberships, sorted(weights), spaces, p.profile.readout)), n_tags=F.lit(1)))
-            view = tags.both_ways(tags.composite(store.edges, spaces))
-            active = graph.bounded_activation(view, sorted(weights.items()), p.profile.tags, p.profile.edges, p.profile.hops)
+            out.append(_pool("tag-readout", named(tags.readout(store.memberships, sorted(weights), spaces, p.profile.readout)), n_tags=F.lit(1)))
+            view = settled(tags.both_ways(tags.composite(store.edges, spaces)), "edges")
+            active = held(graph.bounded_activation(view, sorted(weights.items()), p.profile.tags, p.profile.edges, p.profile.hops))
             spread = graph.propagation_readout(store.memberships, active, spaces, p.profile.readout)
-            out.append(fusion.pool_rows("activation", named(spread), n_propagation=F.lit(1), strongest=F.col("score")))
+            out.append(_pool("activation", named(spread), n_propagation=F.lit(1), strongest=F.col("score")))
             if "diffusion" in p.channels:
-                nodes = graph.reachable(view, sorted(weights), p.profile.diffusion_nodes, p.profile.hops)
-                spread = graph.propagation_readout(store.memberships, graph.diffusion(view, weights, nodes=nodes), spaces, p.profile.readout)
-                out.append(fusion.pool_rows("diffusion", named(spread), n_propagation=F.lit(1), strongest=F.col("score")))
+                nodes = held(graph.reachable(view, sorted(weights), p.profile.diffusion_nodes, p.profile.hops))
+                spread = graph.propagation_readout(store.memberships, held(graph.diffusion(view, weights, nodes=nodes)), spaces, p.profile.readout)
+                out.append(_pool("diffusion", named(spread), n_propagation=F.lit(1), strongest=F.col("score")))
     if "relation" in p.channels and store.links is not None and out:
         starts = reduce(DataFrame.unionByName, (x.select(F.col("memory_id").alias("target")) for x in out)).distinct()
         found = graph.expand_relations(store.links, starts, p.profile.relation_hops, p.profile.relation_added).where(F.size("kinds") > 0)
         kept = records.where(exact_match(spaces, p.generation, [], **hard)).join(found.withColumnRenamed("target", "memory_id"), "memory_id")
         rows = kept.orderBy("space_id", "memory_id", "revision_id").limit(query.max_candidates)
-        out.append(fusion.pool_rows("relation", ranked(rows, [F.col(c) for c in TARGET]), n_relations=F.size("kinds")))
+        out.append(_pool("relation", ranked(rows, [F.col(c) for c in TARGET]), n_relations=F.size("kinds")))
     return out
 
 

@@ -96,3 +96,16 @@ def working_path(spark: SparkSession, label: str) -> str:
 
     root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="stratalens-")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """Cut the lineage: a table written to the working folder and read again."""
+    spark = df.sparkSession
+    path = working_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def held(df: DataFrame) -> DataFrame:
+    """A short list, bounded by the limit that made it, as a table of its own: what made it isn't planned again."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
