@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stratalens.functions.text import tokens
 from stratalens.operators.filters import lexical_match
 from stratalens.operators.ranking import ranked
+from stratalens.sources.store import settled
 
 K1, B = 1.2, 0.75
 
@@ -37,8 +38,8 @@ def term_counts(records: DataFrame) -> DataFrame:
 
 
 def _times(words: str, term: str):
-    """How often an array has a term."""
-    return F.size(F.filter(words, lambda w: w == F.lit(term)))
+    """How often an array has a term, without a lambda."""
+    return F.size(words) - F.size(F.array_remove(words, term))
 
 
 def bm25(records: DataFrame, query: str, k1: float = K1, b: float = B) -> DataFrame:
@@ -47,6 +48,7 @@ def bm25(records: DataFrame, query: str, k1: float = K1, b: float = B) -> DataFr
     wanted = [r.w for r in spark.createDataFrame([(query,)], "q string").select(F.explode(F.array_distinct(tokens(F.col("q")))).alias("w")).collect()]
     words = records.select("space_id", "memory_id", tokens(F.col("text")).alias("words"))
     counted = words.select("space_id", "memory_id", F.size("words").cast("double").alias("length"), *(_times("words", t).cast("double").alias(f"tf{i}") for i, t in enumerate(wanted)))
+    counted = settled(counted, "term-counts")  # texts are cut into tokens once, for the totals and for the scores
     totals = counted.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("length").alias("mean"), *(F.sum((F.col(f"tf{i}") > 0).cast("double")).alias(f"df{i}") for i in range(len(wanted)))).first()
     score = F.lit(0.0)
     for i in range(len(wanted)):
