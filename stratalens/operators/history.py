@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from stratalens.functions.text import fingerprint
 from stratalens.model import as_of
 
-_TO = F.coalesce
 
 
 class Conflict(ValueError):

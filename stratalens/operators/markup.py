@@ -32,7 +32,7 @@ NODE_ID = re.compile(r"[A-Za-z][A-Za-z0-9_.:-]*\Z")
 ENTITY = re.compile(r"[a-z][a-z0-9-]{0,63}:[^\s:\x00-\x1f\x7f]{1,384}\Z")
 _NAME = re.compile(r"[A-Za-z][A-Za-z0-9.:_-]*")
 _ATTRIBUTE = re.compile(r"""\s*([A-Za-z_][\w:.-]*)\s*=\s*("([^"]*)"|'([^']*)'|(\{)|)""")
-_CODE = re.compile(r"(?ms)^ {0,3}(`{3,}|~{3,})[^\n]*\n.*?(?:^ {0,3}\1[`~]*[ \t]*$|\Z)|(`+)(?!`).+?(?<!`)\2(?!`)|<!--.*?-->")
+_CODE = re.compile(r"(?ms)^ {0,3}(`{3,}|~{3,})[^\n]*\n.*?(?:^ {0,3}\1[`~]*[ \t\r]*$|\Z)|(`+)(?!`).+?(?<!`)\2(?!`)|<!--.*?-->")
 _DATE = re.compile(r"(\d{4})(?:-(\d\d)(?:-(\d\d)(T([01]\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d{1,9})?)?(Z|[+-]([01]\d|2[0-3]):[0-5]\d))?)?)?\Z")
 
 

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from stratalens.functions.text import deictic_words, fingerprint, normalize_tag, without_headings
 
-_NODES = F.col("ir.nodes")
+def _nodes() -> Column:
+    return F.col("ir.nodes")
+
 
 
 def _of(*kinds: str) -> Column:
-    return F.filter(_NODES, lambda n: n["kind"].isin(*kinds))
+    return F.filter(_nodes(), lambda n: n["kind"].isin(*kinds))
 
 
 def lexical_text() -> Column:
@@ -20,7 +22,7 @@ def lexical_text() -> Column:
 
 
 def _node_text() -> Column:
-    return F.array_join(F.filter(F.transform(F.filter(_NODES, lambda n: n["kind"] != "Tag"), lambda n: n["text"]), lambda t: F.length(t) > 0), "\n")
+    return F.array_join(F.filter(F.transform(F.filter(_nodes(), lambda n: n["kind"] != "Tag"), lambda n: n["text"]), lambda t: F.length(t) > 0), "\n")
 
 
 def context_text() -> Column:
@@ -40,9 +42,9 @@ def serving(df: DataFrame) -> DataFrame:
     return df.where("ir.error is null").withColumns(
         {
             "text": lexical_text(),
-            "entity_refs": F.array_distinct(F.concat(attribute(["Entity"], "ref"), F.filter(F.transform(_NODES, lambda n: n["attributes"]["about"]), lambda v: v.isNotNull()))),
+            "entity_refs": F.array_distinct(F.concat(attribute(["Entity"], "ref"), F.filter(F.transform(_nodes(), lambda n: n["attributes"]["about"]), lambda v: v.isNotNull()))),
             "tags": F.array_distinct(attribute(["Tag"], "value")),
-            "node_ids": F.filter(F.transform(_NODES, lambda n: n["id"]), lambda v: v.isNotNull()),
+            "node_ids": F.filter(F.transform(_nodes(), lambda n: n["id"]), lambda v: v.isNotNull()),
             "relations": F.array_distinct(F.concat(kinds, refs)),
         }
     )
@@ -50,19 +52,19 @@ def serving(df: DataFrame) -> DataFrame:
 
 def _parent(n: Column) -> Column:
     """The nearest identified node around a node."""
-    around = F.filter(_NODES, lambda p: p["id"].isNotNull() & (p["start"] < n["start"]) & (p["end"] >= n["end"]))
+    around = F.filter(_nodes(), lambda p: p["id"].isNotNull() & (p["start"] < n["start"]) & (p["end"] >= n["end"]))
     return F.array_max(F.transform(around, lambda p: F.struct(p["start"].alias("start"), p["id"].alias("id"))))["id"]
 
 
 def structure(df: DataFrame, key: str) -> DataFrame:
     """(key, kind, node_id, parent_id)."""
-    rows = df.select(key, F.explode(F.transform(_NODES, lambda n: F.struct(n["kind"].alias("kind"), n["id"].alias("node_id"), _parent(n).alias("parent_id")))).alias("n"))
+    rows = df.select(key, F.explode(F.transform(_nodes(), lambda n: F.struct(n["kind"].alias("kind"), n["id"].alias("node_id"), _parent(n).alias("parent_id")))).alias("n"))
     return rows.select(key, "n.*")
 
 
 def temporal(df: DataFrame, key: str) -> DataFrame:
     """Nodes with any of the four dates."""
-    rows = df.select(key, F.explode(_NODES).alias("n"))
+    rows = df.select(key, F.explode(_nodes()).alias("n"))
     dates = {name: F.col("n.attributes")[raw] for name, raw in (("occurred_at", "occurredAt"), ("observed_at", "observedAt"), ("valid_from", "validFrom"), ("valid_to", "validTo"))}
     return rows.select(key, F.col("n.id").alias("node_id"), *(c.alias(n) for n, c in dates.items())).where(F.coalesce("occurred_at", "observed_at", "valid_from", "valid_to").isNotNull())
 
