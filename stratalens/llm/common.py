@@ -48,6 +48,21 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_entry_ids(entries: DataFrame) -> DataFrame:
+    """Entries with a number of their own, to be materialised next."""
+    return entries.withColumn("entry", F.monotonically_increasing_id())
+
+
+def tell_entries(entries: DataFrame, verdicts: DataFrame, keys: list[str]) -> DataFrame:
+    """Entries (keys, entry, long lists) with the verdict on their key, one row for each key that has one.
+
+    Only keys and entry numbers meet on the key; the lists are joined by entry number. So a key that a
+    third of all rows share brings a short row for each of its entries to one task, and not the rows.
+    """
+    told = entries.select("entry", *keys).join(verdicts, keys).drop(*keys)
+    return entries.join(told, "entry")
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a path in whatever file system it is in."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

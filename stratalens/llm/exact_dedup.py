@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.llm.common import documents, materialise, shuffle_width, text_or_empty
+from stratalens.llm.common import documents, materialise, shuffle_width, tell_entries, text_or_empty, with_entry_ids
 
 #: Rows that a leaf gathers before it writes a run, and identifiers in an entry at most.
 RUN_ROWS, ENTRY_IDS = 200_000, 1_000
@@ -119,7 +119,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     largest, spark = keep == "largest", df.sparkSession
     text = text_or_empty(text_col)
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"), F.xxhash64(text).alias("probe"), F.octet_length(text).cast("long").alias("size"))
-    entries = materialise(rows.mapInArrow(_leaf_runs(largest), _ENTRY), "digest-runs")
+    entries = materialise(with_entry_ids(rows.mapInArrow(_leaf_runs(largest), _ENTRY)), "digest-runs")
 
     radix, rounds = tree_shape(shuffle_width(spark))
     nodes = radix**rounds
@@ -137,8 +137,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
         )
     merged = runs.select("digest", "probe", "size", F.col("best").alias("keep_id"), F.col("best_ord").alias("keep_ord"), F.col("n").alias("group_size"))
     return (
-        entries.select("digest", "probe", "size", "ids", "ords")
-        .join(merged, ["digest", "probe", "size"])
+        tell_entries(entries.select("entry", "digest", "probe", "size", "ids", "ords"), merged, ["digest", "probe", "size"])
         .select("digest", "keep_id", "keep_ord", "group_size", F.explode(F.arrays_zip("ids", "ords")).alias("row"))
         .select(F.col("row.ids").alias("doc_id"), "keep_id", "group_size", (F.col("row.ords") == F.col("keep_ord")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
     )
