@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.llm.common import documents, free_name, materialise, shuffle_width, text_or_empty
+from stratalens.llm.common import documents, free_name, materialise, shuffle_width, tell_entries, text_or_empty, with_entry_ids
 from stratalens.llm.components import connected_components
 
 SEED = 42
@@ -226,7 +226,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if not 0 <= max_bits <= 5:
         raise ValueError("max_bits is 0 to 5: halves of the grid reach no further")
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    entries = materialise(rows.mapInArrow(_fingerprint_entries(words), "fp long, ids array<long>"), "fingerprints")
+    entries = materialise(with_entry_ids(rows.mapInArrow(_fingerprint_entries(words), "fp long, ids array<long>")), "fingerprints")
     nodes = materialise(entries.groupBy("fp").agg(F.min(F.array_min("ids")).alias("first_id")), "nodes")
     cells = nodes.select("fp").mapInArrow(_cells(max_bits // 2 > 0), "cell long, fp long")
     width = max(shuffle_width(df.sparkSession), 2)
@@ -237,7 +237,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of = linked.join(firsts, "root").select("fp", "component_id")
     classes = nodes.join(of, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
     return (
-        entries.join(classes, "fp")
+        tell_entries(entries, classes, ["fp"])
         .select("fp", "component_id", F.explode("ids").alias("doc_id"))
         .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
     )
