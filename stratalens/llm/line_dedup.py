@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.llm.common import documents, free_name, materialise, shuffle_width, small_batches, text_or_empty, trimmed, without
+from stratalens.llm.common import documents, free_name, materialise, shuffle_width, small_batches, tell_entries, text_or_empty, trimmed, with_entry_ids, without
 
 #: Bits of each filter, as a power of two; so the broadcast filter has 8 MB at most.
 FILTER_BITS = 26
@@ -183,10 +183,11 @@ def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     row_a, row_b = F.xxhash64(doc, text), F.xxhash64(text, F.lit(1), doc)
     suspected = df.select(text.alias("text"), doc.alias("id"), row_a.alias("a"), row_b.alias("b")).mapInArrow(trimmed(_suspects(filter_bits, min_chars, twice)), "digest binary, n_docs long, row_a array<long>, row_b array<long>, at array<int>, first_id long, first_a long, first_b long, first_at int")
     with small_batches(spark):
-        entries = materialise(suspected, "suspects")
+        entries = materialise(with_entry_ids(suspected), "suspects")
     first = F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "first_a", "first_b", "first_at"))
     confirmed = entries.groupBy("digest").agg(F.sum("n_docs").alias("n"), first.alias("first")).where(F.col("n") >= min_docs)
-    gone = entries.select("digest", F.arrays_zip("row_a", "row_b", "at").alias("rows")).join(confirmed, "digest").select("first", F.explode("rows").alias("row"))
+    gone = tell_entries(entries.select("entry", "digest", "row_a", "row_b", "at"), confirmed.select("digest", "first"), ["digest"])
+    gone = gone.select("first", F.explode(F.arrays_zip("row_a", "row_b", "at")).alias("row"))
     if keep == "first":
         gone = gone.where((F.col("row.row_a") != F.col("first.first_a")) | (F.col("row.row_b") != F.col("first.first_b")) | (F.col("row.at") != F.col("first.first_at")))
     gone = gone.groupBy(F.col("row.row_a").alias("__row_a"), F.col("row.row_b").alias("__row_b")).agg(F.collect_list("row.at").alias("__gone"))
