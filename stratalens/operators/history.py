@@ -72,6 +72,25 @@ def restore(history, memory: int, generation: int) -> DataFrame:
     return change(history, _one(history, memory, lifecycle="active"), generation, ["memory_id"], ["lifecycle"])
 
 
+def change_space(states: DataFrame, space: str, generation: int, **values: str) -> DataFrame:
+    """A space's new key, lifecycle or policies, as a new interval; keys in use by another space are refused."""
+    if "space_key" in values and states.where(F.col("valid_to").isNull() & (F.col("space_key") == values["space_key"]) & (F.col("space_id") != space)).limit(1).count():
+        raise Conflict("the key is in use")
+    schema = "space_id string, " + ", ".join(f"{k} string" for k in values)
+    new = states.sparkSession.createDataFrame([(space, *values.values())], schema)
+    if missing(states, new, ["space_id"]).limit(1).count():
+        raise Conflict("there is no such space")
+    return change(states, new, generation, ["space_id"], list(values))
+
+
+def create_space(states: DataFrame, space: str, key: str, generation: int, **values: str) -> DataFrame:
+    """A new space, active from a generation on; its key must be free."""
+    if states.where(F.col("valid_to").isNull() & ((F.col("space_key") == key) | (F.col("space_id") == space))).limit(1).count():
+        raise Conflict("the space or its key is there")
+    full = {"space_id": space, "space_key": key, "lifecycle": "active", "valid_from": generation, "valid_to": None} | values
+    return states.unionByName(states.sparkSession.createDataFrame([tuple(full.get(c) for c in states.columns)], states.schema))
+
+
 def revise(history: DataFrame, memory: int, expected_head: str, revision: str, generation: int) -> DataFrame:
     """A new head, if the present one is the one expected and the memory is active."""
     head = history.where((F.col("memory_id") == memory) & F.col("valid_to").isNull()).select("revision_id", "lifecycle").first()

@@ -32,6 +32,14 @@ def without_tombstones(vectors: DataFrame, tombstones: DataFrame, keys: list[str
     return vectors.join(tombstones.select(*keys).distinct(), keys, "left_anti")
 
 
+def selected(vectors: DataFrame, **equal) -> DataFrame:
+    """Vectors of a space, memory, revision or generation; what isn't given isn't tested."""
+    for name, value in equal.items():
+        if value is not None:
+            vectors = vectors.where(F.col(name) == value)
+    return vectors
+
+
 def top_k(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     return scored(vectors, query).orderBy(F.desc("score"), "memory_id").limit(k).select("space_id", "memory_id", "score")
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import hashlib
+import time
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, field
 
 #: What a store may offer.
 CAPABILITIES = ("lexical", "semantic", "associative", "adaptive", "reranking")
@@ -143,3 +146,42 @@ def plan(query: Query, snapshot: Snapshot, denied: frozenset[str] = frozenset())
     if "associative" in used and (query.cue_tags or "semantic" in used):
         channels += ["tag-readout", "activation", *["diffusion"] * (query.quality == "thorough"), "relation"]
     return Plan(tuple(channels), PROFILES[query.quality], used, degraded, target_generation(query, snapshot), "reranking" in used, "adaptive" in used)
+
+
+def wait_ready(query: Query, snapshot: Callable[[], Snapshot], pause: float = 0.025, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> int:
+    """The target generation, asking again while it isn't built, until the query's timeout."""
+    end = clock() + query.timeout_ms / 1000
+    while True:
+        try:
+            return target_generation(query, snapshot())
+        except NotReady:
+            if clock() >= end:
+                raise
+            sleep(pause)
+
+
+@dataclass(frozen=True)
+class Continuation:
+    """Where a listing goes on: an offset that holds for one query on one generation, for a while."""
+
+    offset: int
+    generation: int
+    fingerprint: str
+    expires_at: float
+
+    @staticmethod
+    def of(query: Query, generation: int, offset: int, now: float, ttl: float = 900.0) -> Continuation:
+        return Continuation(offset, generation, fingerprint(query), now + ttl)
+
+    def resume(self, query: Query, now: float) -> tuple[int, int]:
+        """(offset, generation), if the query is the same and the time isn't over."""
+        if self.fingerprint != fingerprint(query):
+            raise QueryError("CONTINUATION_QUERY")
+        if now >= self.expires_at:
+            raise QueryError("CONTINUATION_EXPIRED")
+        return self.offset, self.generation
+
+
+def fingerprint(query: Query) -> str:
+    """The same for queries that ask the same."""
+    return hashlib.sha256(repr(sorted(asdict(query).items())).encode()).hexdigest()
