@@ -22,6 +22,8 @@ SIZE_BITS = 12
 SIZE = 1 << SIZE_BITS
 #: Labelled texts that are learned from, for each language; centroids of a language, and rounds of k-means.
 PER_LANGUAGE, CENTROIDS, ROUNDS = 500, 4, 12
+#: A cluster with less than this part of its language's sample is dropped: mislabelled and mixed texts gather in such.
+LEAST_PART = 0.08
 #: A text is rejected under this part of the cosine that 99 % of the language's texts reach.
 REJECT = 0.5
 UNDETERMINED = "und"
@@ -67,7 +69,8 @@ def cluster(vectors: np.ndarray, many: int, rounds: int = ROUNDS) -> np.ndarray:
     for _ in range(rounds):
         of = np.argmax(vectors @ centres.T, axis=1)
         centres = np.stack([_unit(vectors[of == c].sum(axis=0)) if (of == c).any() else centres[c] for c in range(len(centres))])
-    return centres
+    of = np.bincount(np.argmax(vectors @ centres.T, axis=1), minlength=len(centres))
+    return centres[of >= min(LEAST_PART * len(vectors), of.max())]
 
 
 class LanguageModel:

@@ -33,7 +33,7 @@ def test_held_out_accuracy(spark):
 def test_the_sample_is_bounded_and_labels_stay_out(spark):
     frame = spark.createDataFrame(corpus(2, 2000), "doc_id long, text string, lang string")
     model = fit_language_model(frame, F.lit(True), per_language=20)
-    assert model.names == ["xx", "yy", "zz"] and len(model.centres) == 12
+    assert model.names == ["xx", "yy", "zz"] and 3 <= len(model.centres) <= 12
     a = identify_language(frame.select("doc_id", "text", F.lit("xx").alias("lang")), model).orderBy("doc_id").select("lang_pred").collect()
     b = identify_language(frame.select("text", "doc_id", F.lit(None).cast("string").alias("lang")), model).orderBy("doc_id").select("lang_pred").collect()
     assert a == b
