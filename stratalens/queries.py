@@ -960,5 +960,5 @@ def nearest_rank_percentile(spark, sf_dir):
 @query("WITH b AS (SELECT quality, avg(n_chars) AS m FROM documents JOIN labels USING (doc_id) GROUP BY quality) SELECT quality, round(m / (SELECT m FROM b WHERE quality = 0) - 1, 6) AS delta, m >= (SELECT m FROM b WHERE quality = 0) AS accepted FROM b")
 def quality_delta_gate(spark, sf_dir):
     means = T.table(spark, sf_dir, "documents").join(T.table(spark, sf_dir, "labels"), "doc_id").groupBy("quality").agg(F.avg("n_chars").alias("m"))
-    base = means.where("quality = 0").select(F.col("m").alias("base"))
-    return means.join(F.broadcast(base)).select("quality", F.round(F.col("m") / F.col("base") - 1, 6).alias("delta"), (F.col("m") >= F.col("base")).alias("accepted"))
+    base = means.where("quality = 0").first()
+    return means.select("quality", F.round(F.col("m") / (base.m if base else None) - 1, 6).alias("delta"), (F.col("m") >= F.lit(base.m if base else None)).alias("accepted"))
