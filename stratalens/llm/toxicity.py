@@ -70,7 +70,7 @@ class Grammar:
                 found = self.stems.get(word[:n]) if len(word) >= n else None
                 if found is not None and (own < INSULT or self.weight[found - INSULT] > self.weight[own - INSULT]):
                     own = found
-        if len(self._met) > 400_000:
+        if len(self._met) > 100_000:
             self._met.clear()
         self._met[word] = own
         return own
@@ -151,7 +151,7 @@ def _counts(read, wanted=None):
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
                 found = read(text.as_py())
                 counts[0 if toxic else 1].update(found if wanted is None else found & wanted.value)
-            if len(counts[0]) + len(counts[1]) > 500_000:
+            if len(counts[0]) + len(counts[1]) > 150_000:
                 yield from give()
         yield from give()
 
