@@ -22,8 +22,10 @@ SIZE_BITS = 12
 SIZE = 1 << SIZE_BITS
 #: Labelled texts that are learned from, for each language; centroids of a language, and rounds of k-means.
 PER_LANGUAGE, CENTROIDS, ROUNDS = 500, 4, 12
-#: A cluster with less than this part of its language's sample is dropped: mislabelled and mixed texts gather in such.
-LEAST_PART = 0.08
+#: This part of a language's sample, the farthest from its mean, isn't clustered: mislabelled and mixed texts are there.
+TRIM = 0.08
+#: Starts of k-means; those in which each cluster has this part of the bulk come before others.
+STARTS, LEAST_PART, SEED = 8, 0.05, 42
 #: A text is rejected under this part of the cosine that 99 % of the language's texts reach.
 REJECT = 0.5
 UNDETERMINED = "und"
@@ -57,20 +59,32 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
 
+def _seeds(vectors: np.ndarray, many: int, draw: np.random.Generator) -> np.ndarray:
+    """k-means++: each next one is drawn in proportion to its distance from those chosen."""
+    chosen = [int(draw.integers(len(vectors)))]
+    far = np.maximum(1 - vectors @ vectors[chosen[0]], 0)
+    while len(chosen) < min(many, len(vectors)) and (total := far.sum(dtype=np.float64)) > 1e-6:
+        chosen.append(min(int(np.searchsorted(np.cumsum(far, dtype=np.float64), draw.random() * total, side="right")), len(vectors) - 1))
+        far = np.minimum(far, np.maximum(1 - vectors @ vectors[chosen[-1]], 0))
+    return vectors[chosen]
+
+
 def cluster(vectors: np.ndarray, many: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Centroids of unit vectors by spherical k-means; it begins with the vectors farthest from each other."""
-    first = int(np.argmax(vectors @ vectors.mean(axis=0)))
-    chosen = [first]
-    near = vectors @ vectors[first]
-    while len(chosen) < min(many, len(vectors)):
-        chosen.append(int(np.argmin(near)))
-        near = np.maximum(near, vectors @ vectors[chosen[-1]])
-    centres = vectors[chosen]
-    for _ in range(rounds):
-        of = np.argmax(vectors @ centres.T, axis=1)
-        centres = np.stack([_unit(vectors[of == c].sum(axis=0)) if (of == c).any() else centres[c] for c in range(len(centres))])
-    of = np.bincount(np.argmax(vectors @ centres.T, axis=1), minlength=len(centres))
-    return centres[of >= min(LEAST_PART * len(vectors), of.max())]
+    """Centroids of unit vectors by spherical k-means++ over the bulk: of several starts the one whose smallest cluster isn't tiny, then the closest one."""
+    central = vectors @ _unit(vectors.sum(axis=0))
+    bulk = vectors[central >= np.quantile(central, TRIM)]
+    draw, best = np.random.default_rng(SEED), None
+    for _ in range(STARTS):
+        centres = _seeds(bulk, many, draw)
+        for _ in range(rounds):
+            of = np.argmax(bulk @ centres.T, axis=1)
+            centres = np.stack([_unit(bulk[of == c].sum(axis=0)) if (of == c).any() else centres[c] for c in range(len(centres))])
+        cosines = bulk @ centres.T
+        sizes = np.bincount(np.argmax(cosines, axis=1), minlength=len(centres))
+        worth = (min(sizes.min() / len(bulk), LEAST_PART), float(cosines.max(axis=1).sum()))
+        if best is None or worth > best[0]:
+            best = worth, centres[sizes > 0]
+    return best[1]
 
 
 class LanguageModel:

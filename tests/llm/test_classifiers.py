@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +62,22 @@ def test_centroids_and_whole_texts():
     assert cluster((v := LanguageModel(["xx"], grams("kalo")[None]).centres), 3).shape == v.shape
 
 
+def test_a_language_keeps_a_centroid_for_each_register():
+    """Two registers of a language and a few outliers that resemble neither."""
+    r = random.Random(4)
+
+    def text(syllables):
+        return " ".join("".join(r.choice(syllables) for _ in range(r.randrange(1, 4))) for _ in range(60))
+
+    registers = [["ka", "lo", "mi", "tu", a, b] for a, b in (("gre", "fop"), ("zin", "dux"))]
+    texts = [text(registers[i % 2]) for i in range(200)] + [text(SYLLABLES["yy"]), text(SYLLABLES["zz"]), "q", "w 1", "e"]
+    model = LanguageModel(["xx"] * len(texts), np.stack([grams(t) for t in texts]))
+    of = np.stack([grams(t) for t in texts[:200]]) * model.idf @ model.centres.T
+    sizes = np.bincount(of.argmax(axis=1), minlength=len(model.centres))
+    assert len(model.centres) > 1 and sizes.min() >= 0.05 * 200
+    assert not set(of.argmax(axis=1)[0::2]) & set(of.argmax(axis=1)[1::2]), "no centroid is of both registers"
+
+
 def toxic_corpus(seed, n):
     r = random.Random(seed)
     rows, labels = [], []
