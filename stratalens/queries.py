@@ -12,7 +12,7 @@ from stratalens.functions import text as X
 from stratalens.functions.temporal import partial_date, temporal_key
 from stratalens.model import as_of, overlaps
 from stratalens.operators import filters, fusion, graph, history, lexical, tags, vectors
-from stratalens.operators.ranking import ranked, top_per_group
+from stratalens.operators.ranking import ranked, ranked_whole, top_per_group
 from stratalens.sources import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -647,7 +647,7 @@ def adaptive_tiebreak(spark, sf_dir):
     fb = T.feedback(spark, sf_dir)
     prior = adaptive.priors(adaptive.familiarity(fb), adaptive.affinity(fb), ["S0", "S1"], ["k1", "k2"], NOW)
     rows = prior.select("space_id", "memory_id", F.lit("r").alias("revision_id"), (F.col("memory_id") % 3).alias("relevance"))
-    placed = ranked(adaptive.tie_break(rows, prior).limit(10_000), [F.desc("relevance"), F.desc("prior"), F.col("memory_id")], "place")
+    placed = ranked_whole(adaptive.tie_break(rows, prior), [F.desc("relevance"), F.desc("prior"), F.col("memory_id")], "place")
     return placed.select("memory_id", "relevance", F.round("prior", 6).alias("prior"), (F.col("place") + 1).cast("long").alias("place"))
 
 
