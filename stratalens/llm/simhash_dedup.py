@@ -5,7 +5,12 @@ such vectors is at most the Hamming distance of the fingerprints. Of two fingerp
 at most ``max_bits`` (up to 5) bits, one half of the vector (16 segments) therefore differs by at most
 ``max_bits // 2``, at most 2. Both enter the grid cell of each half and the cells next to it (one count more or
 less), so such halves always share a cell: the cell itself for distance 0, and for 1 or 2 one halfway.
-In a cell the fingerprints are compared exactly.
+In a cell the Manhattan distance of the whole vectors discards pairs first; what it leaves is compared
+exactly.
+
+A cell of more than ``LARGE_CELL`` fingerprints is dealt again: of the other half's vector, one of its
+halves differs by at most ``max_bits // 2`` as well, so the cell's members enter the grid cells of both
+(and their neighbours) below it. So the fingerprints around the grid's mode are spread over many tasks.
 
 A cell never gives all its pairs. Small cells are compared in place, large ones searched breadth
 first among what isn't yet reached, and every task hands on one tree for each set that it has found
@@ -28,10 +33,13 @@ from stratalens.llm.components import connected_components
 SEED = 42
 #: Identifiers in an entry at most, documents that a task gathers before it writes entries.
 ENTRY_IDS, FLUSH_ROWS = 1_000, 200_000
-#: A cell with more members than this is searched breadth first.
-SMALL_CELL = 64
+#: A cell with more members than this is searched breadth first; one with more than that is dealt again.
+SMALL_CELL, LARGE_CELL = 64, 20_000
+#: Fingerprints that a task keeps in its sets; beyond, it hands on their trees and begins anew.
+HELD_SETS = 500_000
 _SEGMENTS, _HALF = 32, 16
 _POWERS = 3 ** np.arange(_HALF, dtype=np.int64)
+_ODD = np.uint64(0x5555555555555555)
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -88,9 +96,27 @@ def segment_counts(fps: np.ndarray) -> np.ndarray:
     return bits[:, 0::2] + bits[:, 1::2]
 
 
+def thermometer(fps: np.ndarray) -> np.ndarray:
+    """Each segment's bit count as so many ones: two such values differ in as many bits as the vectors' Manhattan distance."""
+    high = fps >> np.uint64(1)
+    return ((fps | high) & _ODD) | ((fps & high & _ODD) << np.uint64(1))
+
+
+def _near_cells(part: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray | slice]]:
+    """(cell, whose) of vectors of segment counts: the grid cell of each, and with ``reach`` those next to it."""
+    code = part @ _POWERS[: part.shape[1]]
+    yield code, slice(None)
+    for j in range(part.shape[1] if reach else 0):
+        for step in (-1, 1):
+            ok = part[:, j] > 0 if step < 0 else part[:, j] < 2
+            yield code[ok] + step * _POWERS[j], ok
+
+
+_CELL = pa.schema([("cell", pa.int64()), ("fp", pa.int64())])
+
+
 def _cells(reach: int):
     """Rows (cell, fp): the grid cells of both halves, and with ``reach`` the cells next to them."""
-    schema = pa.schema([("cell", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,16 +125,26 @@ def _cells(reach: int):
                 fps = every[at : at + 20_000]
                 counts = segment_counts(fps.view(np.uint64)).astype(np.int64)
                 for half in (0, 1):
-                    part = counts[:, half * _HALF : (half + 1) * _HALF]
-                    code = part @ _POWERS + half * 3**_HALF
-                    cells, who = [code], [fps]
-                    if reach:
-                        for j in range(_HALF):
-                            for step in (-1, 1):
-                                ok = part[:, j] + step >= 0 if step < 0 else part[:, j] + step <= 2
-                                cells.append(code[ok] + step * _POWERS[j])
-                                who.append(fps[ok])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells)), pa.array(np.concatenate(who))], schema=schema)
+                    cells = [(c + half * 3**_HALF, fps[who]) for c, who in _near_cells(counts[:, half * _HALF : (half + 1) * _HALF], reach)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*cells)], schema=_CELL)
+
+    return run
+
+
+def _cells_below(reach: int):
+    """Of members of large cells (cell, fp): rows (cell below, fp) by both halves of the half that the cell doesn't speak of."""
+    eight = _HALF // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for at in range(0, len(cell), 20_000):
+                own, fps = cell[at : at + 20_000], fp[at : at + 20_000]
+                counts = segment_counts(fps.view(np.uint64)).astype(np.int64)
+                other = np.where((own < 3**_HALF)[:, None], counts[:, _HALF:], counts[:, :_HALF])
+                for part in (0, 1):
+                    below = [((2 * own[who] + part) * 3**eight + c, fps[who]) for c, who in _near_cells(other[:, part * eight : (part + 1) * eight], reach)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*below)], schema=_CELL)
 
     return run
 
@@ -145,74 +181,103 @@ class _Sets:
 
 def _search(members: np.ndarray, bits: int, sets: _Sets) -> None:
     """Link what is connected within one large cell; each step looks only at what isn't reached yet."""
-    rest = members
+    rest, flat = members, thermometer(members)
     while len(rest):
-        stack, rest = [rest[0]], rest[1:]
+        stack, rest, flat = [rest[0]], rest[1:], flat[1:]
         while stack and len(rest):
             at = stack.pop()
-            near = np.bitwise_count(rest ^ at) <= bits
-            if near.any():
+            near = np.flatnonzero(np.bitwise_count(flat ^ thermometer(at)) <= bits)
+            near = near[np.bitwise_count(rest[near] ^ at) <= bits]
+            if len(near):
                 found = rest[near]
-                rest = rest[~near]
+                rest, flat = np.delete(rest, near), np.delete(flat, near)
                 here = int(at.view(np.int64))
                 for x in found.view(np.int64).tolist():
                     sets.link(here, x)
                 stack.extend(found)
 
 
-def _link_cells(bits: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def compare(cell: np.ndarray, fp: np.ndarray, sets: _Sets) -> None:
-        new = np.flatnonzero(np.diff(cell)) + 1
-        starts = np.concatenate([[0], new])
-        sizes = np.diff(np.concatenate([starts, [len(cell)]]))
-        for s, n in zip(starts[sizes > SMALL_CELL].tolist(), sizes[sizes > SMALL_CELL].tolist()):
-            _search(fp[s : s + n], bits, sets)
-        small = np.repeat(sizes <= SMALL_CELL, sizes)
-        cell, fp = cell[small], fp[small]
-        pairs = []
-        for lag in range(1, min(SMALL_CELL, int(sizes.max(initial=1)))):
-            same = cell[lag:] == cell[:-lag]
-            if not same.any():
-                break
-            a, b = fp[:-lag][same], fp[lag:][same]
-            near = np.bitwise_count(a ^ b) <= bits
-            pairs.append(np.stack([np.minimum(a[near], b[near]), np.maximum(a[near], b[near])], axis=1))
-        if pairs and sum(map(len, pairs)):
-            for a, b in np.unique(np.concatenate(pairs), axis=0).view(np.int64).tolist():
-                sets.link(a, b)
+def _pairs_within(cell: np.ndarray, fp: np.ndarray, bits: int, sets: _Sets) -> None:
+    """Link what is within ``bits`` in the same small cell: Manhattan distances first, then the fingerprints themselves."""
+    flat, pairs = thermometer(fp), []
+    for lag in range(1, SMALL_CELL):
+        same = cell[lag:] == cell[:-lag]
+        if not same.any():
+            break
+        near = np.flatnonzero(same)
+        near = near[np.bitwise_count(flat[near] ^ flat[near + lag]) <= bits]
+        a, b = fp[near], fp[near + lag]
+        near = np.bitwise_count(a ^ b) <= bits
+        pairs.append(np.stack([np.minimum(a[near], b[near]), np.maximum(a[near], b[near])], axis=1))
+    if pairs and sum(map(len, pairs)):
+        for a, b in np.unique(np.concatenate(pairs), axis=0).view(np.int64).tolist():
+            sets.link(a, b)
+
+
+_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cell", pa.int64())])
+
+
+def _link_cells(bits: int, large: int | None):
+    """Of sorted rows (cell, fp): links (a, b, null), and the members of cells larger than ``large`` as (fp, null, cell)."""
+
+    def rows(a, b, cell) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((a, b, cell), _LINK)], schema=_LINK)
+
+    def links(sets: _Sets) -> Iterator[pa.RecordBatch]:
+        edges = list(sets.trees())
+        for at in range(0, len(edges), 50_000):
+            a, b = zip(*edges[at : at + 50_000])
+            yield rows(a, b, [None] * len(a))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = _Sets()
-        open_cell: list[np.ndarray] = []  # fingerprints of the last cell so far, which may go on
-        last = None
+        held: list[np.ndarray] = []  # fingerprints so far of the last cell, which may go on
+        last, size = None, 0
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if size > (large or size):
+                for fp in held:  # the beginning went out already
+                    yield rows(fp, [None] * len(fp), np.full(len(fp), last))
+            elif size > SMALL_CELL:
+                _search(np.concatenate(held), bits, sets)
+            elif size > 1:
+                _pairs_within(np.full(size, last), np.concatenate(held).view(np.uint64), bits, sets)
+
         for batch in batches:
-            cell = batch.column(0).to_numpy()
-            fp = batch.column(1).to_numpy().view(np.uint64)
-            if not len(cell):
+            if not batch.num_rows:
                 continue
-            if last is not None and cell[0] != last:
-                compare(np.full(sum(map(len, open_cell)), last), np.concatenate(open_cell), sets)
-                open_cell = []
-            cut = int(np.searchsorted(cell, cell[-1]))
-            if cut:
-                head = np.concatenate([*open_cell, fp[:cut]])
-                compare(np.concatenate([np.full(len(head) - cut, cell[0]), cell[:cut]]), head, sets)
-                open_cell = []
-            open_cell.append(fp[cut:].copy())
-            last = cell[-1]
-        if open_cell:
-            compare(np.full(sum(map(len, open_cell)), last), np.concatenate(open_cell), sets)
-        edges = list(sets.trees())
-        for at in range(0, len(edges), 50_000):
-            a, b = zip(*edges[at : at + 50_000])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+            cell, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]])
+            sizes = np.diff(starts)
+            whole = np.ones(len(sizes), bool)
+            whole[-1] = False  # may go on in the next batch
+            if last is not None and cell[0] == last:
+                whole[0] = False
+            small = np.repeat(whole & (sizes <= SMALL_CELL), sizes)
+            _pairs_within(cell[small], fp[small], bits, sets)
+            for n in np.flatnonzero(~(whole & (sizes <= SMALL_CELL))).tolist():
+                s, e = int(starts[n]), int(starts[n + 1])
+                if last is not None and cell[s] != last:
+                    yield from close()
+                    held, size = [], 0
+                last = cell[s]
+                held.append(fp[s:e].copy())
+                size += e - s
+                if large is not None and size > large:  # dealt again: nothing of it stays here
+                    for some in held:
+                        yield rows(some.view(np.int64), [None] * len(some), np.full(len(some), last))
+                    held = []
+            if len(sets.up) > HELD_SETS:
+                yield from links(sets)
+                sets = _Sets()
+        if last is not None:
+            yield from close()
+        yield from links(sets)
 
     return run
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_bits: int = 4) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_bits: int = 4, large_cell: int = LARGE_CELL) -> DataFrame:
     """One row for each row of ``df``: doc_id, fingerprint (16 hex digits), component_id.
 
     Texts whose fingerprints differ in at most ``max_bits`` bits (0 to 5) are linked; component_id is
@@ -220,18 +285,24 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     copies aren't expanded into pairs, and no link is lost.
 
     Nulls: a null text counts as empty, with fingerprint zero; null ids are returned, and count only
-    where a component has no other id. Repeated rows are all returned. An empty table gives an empty
-    result. Columns of ``df`` other than the two named are ignored.
+    where a component has no other id. Very long texts are hashed whole, by one task each. Ties: a bit
+    set in exactly half the hashes is 0; equal fingerprints are one node. Repeated rows are all
+    returned. An empty table gives an empty result. Columns of ``df`` other than the two named are
+    ignored, whatever their names.
     """
     if not 0 <= max_bits <= 5:
         raise ValueError("max_bits is 0 to 5: halves of the grid reach no further")
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     entries = materialise(with_entry_ids(rows.mapInArrow(_fingerprint_entries(words), "fp long, ids array<long>")), "fingerprints")
     nodes = materialise(entries.groupBy("fp").agg(F.min(F.array_min("ids")).alias("first_id")), "nodes")
-    cells = nodes.select("fp").mapInArrow(_cells(max_bits // 2 > 0), "cell long, fp long")
-    width = max(shuffle_width(df.sparkSession), 2)
-    found = cells.repartition(width, "cell").sortWithinPartitions("cell", "fp").mapInArrow(_link_cells(max_bits), "a long, b long")
-    roots = connected_components(found)
+    reach, width = max_bits // 2, max(shuffle_width(df.sparkSession), 2)
+    linked_in = lambda cells, large: cells.repartition(width, "cell").sortWithinPartitions("cell", "fp").mapInArrow(_link_cells(max_bits, large), "a long, b long, cell long")
+    found = materialise(linked_in(nodes.select("fp").mapInArrow(_cells(reach), "cell long, fp long"), large_cell), "links")
+    again = found.where("cell IS NOT NULL").select("cell", F.col("a").alias("fp"))
+    links = found.where("cell IS NULL").select("a", "b")
+    if again.limit(1).count():
+        links = links.unionByName(linked_in(again.mapInArrow(_cells_below(reach), "cell long, fp long"), None).select("a", "b"))
+    roots = connected_components(links)
     linked = materialise(nodes.join(roots.withColumnRenamed("node", "fp"), "fp"), "linked")
     firsts = materialise(linked.groupBy("root").agg(F.min("first_id").alias("component_id")), "firsts")
     of = linked.join(firsts, "root").select("fp", "component_id")

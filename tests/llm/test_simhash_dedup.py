@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from stratalens.llm.components import connected_components
-from stratalens.llm.simhash_dedup import drop_near_duplicates, fingerprint, near_duplicates, segment_counts
+from stratalens.llm.simhash_dedup import drop_near_duplicates, fingerprint, near_duplicates, segment_counts, thermometer
 
 
 def brute(rows, words, bits):
@@ -58,11 +58,28 @@ def test_one_large_group_of_near_copies(docs):
     assert got == brute(rows, 4, 4)
 
 
+@pytest.mark.parametrize("large", [2, 20, 400])
+def test_cells_dealt_again_lose_no_link(docs, large):
+    """With a small bound nearly every cell is dealt again by the other half's counts."""
+    rows = corpus(23, 100)
+    r = random.Random(5)
+    words = [f"x{i}" for i in range(1500)]
+    for i in range(250):
+        own = list(words)
+        for _ in range(r.choice([0, 1, 2, 4])):
+            own[r.randrange(len(own))] = f"y{r.randrange(50)}"
+        rows.append((5000 + i, " ".join(own)))
+    for bits in (1, 4):
+        got = sorted(map(tuple, near_duplicates(docs(rows), max_bits=bits, large_cell=large).collect()))
+        assert got == brute(rows, 4, bits)
+
+
 def test_manhattan_bounds_hamming():
     r = np.random.default_rng(3)
     a, b = r.integers(0, 2**63, (2, 2000), dtype=np.uint64)
     manhattan = np.abs(segment_counts(a).astype(int) - segment_counts(b).astype(int)).sum(axis=1)
     assert (manhattan <= np.bitwise_count(a ^ b)).all()
+    assert (np.bitwise_count(thermometer(a) ^ thermometer(b)) == manhattan).all()
 
 
 def test_nulls_empty_repeats_and_extra_columns(docs):
@@ -89,3 +106,18 @@ def test_long_chain_of_links(spark):
     edges = spark.createDataFrame([(order[i], order[i + 1]) for i in range(n - 1)] + [(n + 1, n + 2), (n + 5, n + 5)], "a long, b long")
     got = connected_components(edges).collect()
     assert len(got) == n + 2 and len({x.root for x in got if x.node < n}) == 1
+
+
+@pytest.mark.parametrize("order", ["ascending", "descending", "shuffled", "star"])
+def test_rounds_and_jumps_grow_with_the_logarithm(spark, order):
+    n = 3000
+    ids = list(range(n))
+    if order == "descending":
+        ids.reverse()
+    elif order == "shuffled":
+        random.Random(2).shuffle(ids)
+    pairs = [(n, i) for i in ids] if order == "star" else [(ids[i], ids[i + 1]) for i in range(n - 1)]
+    rounds: list[int] = []
+    got = connected_components(spark.createDataFrame(pairs, "a long, b long"), rounds).collect()
+    assert len({x.root for x in got}) == 1 and len(got) == n + (order == "star")
+    assert len(rounds) <= 12 and max(rounds) <= 13
