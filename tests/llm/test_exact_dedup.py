@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from stratalens.llm.exact_dedup import exact_dedup, tree_shape
+from stratalens.llm.exact_dedup import CHUNK, OP2_SQL, _Outbox, exact_dedup, merged_runs, tree_shape
 
 
 def brute(rows, largest):
@@ -44,7 +44,36 @@ def test_empty_table_and_clashing_columns(docs, spark):
     assert exact_dedup(frame).first().kept is True
 
 
-def test_tree_covers_its_width():
-    for width in (1, 2, 5, 8, 50, 64, 211, 1024, 5000):
-        radix, rounds = tree_shape(width)
-        assert radix**rounds >= width
+def test_tree_is_binomial():
+    assert [tree_shape(w) for w in (1, 2, 5, 8, 200, 1024)] == [(2, 1), (2, 1), (4, 2), (8, 3), (128, 7), (1024, 10)]
+
+
+def test_many_runs_merge_without_a_sort():
+    r = random.Random(3)
+    entries, chunks = {}, []
+    for run in range(9):
+        box = _Outbox(1)
+        for n in sorted(r.sample(range(9000), r.choice([1, 50, 3 * CHUNK]))):
+            key, best = hashlib.sha256(b"%d" % (n % 5)).digest()[:4] + n.to_bytes(44, "big"), r.choice([None, r.randrange(99)])
+            entries.setdefault(key, []).append((best, run))
+        for key in sorted(k for k, own in entries.items() if own[-1][1] == run):
+            box.add(0, 0, (key, *entries[key][-1], 1))
+        box.close()
+        chunks += [(first, packed) for _, first, packed in box.ready]
+    got = list(merged_runs(iter(sorted(chunks)), largest=False))
+    assert [g[0] for g in got] == sorted(entries)
+    for key, best, _, n in got:
+        known = [b for b, _ in entries[key] if b is not None]
+        assert n == len(entries[key]) and best == (min(known) if known else None)
+
+
+def test_the_sql_agrees(spark, tmp_path):
+    import duckdb
+
+    from stratalens.llm.exact_dedup import op2_exact_dedup
+
+    rows = [(i, None if i % 50 == 0 else f"t{i % 37}" if i % 3 else "hot") for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(tuple(x) for x in op2_exact_dedup(spark, str(tmp_path)).collect()) == sorted(con.execute(OP2_SQL).fetchall())
