@@ -1,10 +1,11 @@
 """Best-fit packing of token sequences by exact-complement hashing.
 
 All that the plan depends on is how many pieces there are of each length, at most ``max_len`` numbers,
-however large the corpus. On these counts: a piece of length l leaves the gap max_len - l; the table of
-lengths in stock is asked for the gap itself, then for a pair and then a triple of lengths that sums to
-it, and each combination found is used as often as the counts allow. What no exact combination fills
-goes where the smallest gap still takes it (best fit, longest first). The plan says, for each length,
+however large the corpus. On these counts: a piece of length l leaves the gap max_len - l; an index of
+the sums of single lengths, pairs and triples is asked for the gap, and each combination found is used
+as often as the counts allow. Counts only fall, so a combination that has run out is passed over for
+good. What no exact combination fills goes where the smallest gap still takes it (best fit, longest
+first). The plan says, for each length,
 which ranks of its pieces go to which sequences and offsets; pieces learn their rank from counts per
 part and length, so no length's pieces ever meet in one task.
 """
@@ -33,28 +34,62 @@ def _times(lengths: Counter, stock: np.ndarray) -> int:
     return min(int(stock[n]) // c for n, c in lengths.items())
 
 
-def _pair(gap: int, taken: Counter, stock: np.ndarray) -> Counter | None:
-    """Two lengths in stock, besides those taken, that sum to ``gap``; the most even pair last."""
-    low = np.arange(1, gap // 2 + 1)
-    for a in low[(stock[low] > 0) & (stock[gap - low] > 0)].tolist():
-        found = taken + Counter((a, gap - a))
-        if _times(found, stock) > 0:
-            return found
-    return None
+class SumIndex:
+    """The single lengths, pairs and triples in stock by their sum. A sum's combinations stand in a fixed order, and a mark says how many of them have run out."""
 
+    def __init__(self, stock: np.ndarray) -> None:
+        self.stock, most = stock, len(stock) - 1
+        lengths = np.flatnonzero(stock)
+        low, high = (x.ravel() for x in np.meshgrid(lengths, lengths, indexing="ij"))
+        keep = (low <= high) & (low + high <= most)
+        low, total = low[keep], (low + high)[keep]
+        order = np.lexsort((low, total))
+        #: Pairs by sum, then by their smaller length: the most even pair of a sum last.
+        self.low = low[order].tolist()
+        self.first = np.searchsorted(total[order], np.arange(most + 2)).tolist()
+        self.pair_mark = self.first[:-1]
+        #: A triple's sum is indexed by its first length, longest first, and the pairs of the rest.
+        self.heads, self.triple_mark = lengths[::-1].tolist(), [0] * (most + 1)
 
-def _fillers(length: int, gap: int, size: int, stock: np.ndarray) -> Counter | None:
-    """A combination of ``size`` more lengths that fills the gap exactly."""
-    taken = Counter((length,))
-    if size == 1:
+    def _in_stock(self, a: int, b: int) -> bool:
+        return self.stock[a] > (a == b) and self.stock[b] > 0
+
+    def single(self, gap: int, taken: Counter) -> Counter | None:
         found = taken + Counter((gap,))
-        return found if _times(found, stock) > 0 else None
-    if size == 2:
-        return _pair(gap, taken, stock)
-    for a in np.flatnonzero(stock[: gap - 1])[::-1].tolist():
-        if a and (found := _pair(gap - a, taken + Counter((a,)), stock)):
-            return found
-    return None
+        return found if _times(found, self.stock) > 0 else None
+
+    def pairs_left(self, gap: int) -> range:
+        """Places of the pairs of a sum from the first that is still in stock on."""
+        at, end = self.pair_mark[gap], self.first[gap + 1]
+        while at < end and not self._in_stock(self.low[at], gap - self.low[at]):
+            at += 1
+        self.pair_mark[gap] = at
+        return range(at, end)
+
+    def pair(self, gap: int, taken: Counter) -> Counter | None:
+        for at in self.pairs_left(gap):
+            a = self.low[at]
+            if self._in_stock(a, gap - a):
+                found = taken + Counter((a, gap - a))
+                if _times(found, self.stock) > 0:
+                    return found
+        return None
+
+    def triple(self, gap: int, taken: Counter) -> Counter | None:
+        over = True  # all before have run out
+        for at in range(self.triple_mark[gap], len(self.heads)):
+            a = self.heads[at]
+            if a < gap and self.stock[a] > 0 and self.pairs_left(gap - a):
+                over = False
+                if found := self.pair(gap - a, taken + Counter((a,))):
+                    return found
+            elif over:
+                self.triple_mark[gap] = at + 1
+        return None
+
+    def fillers(self, length: int, gap: int, size: int) -> Counter | None:
+        """A piece of this length and ``size`` more that fill the gap it leaves exactly; all in stock together."""
+        return (self.single, self.pair, self.triple)[size - 1](gap, Counter((length,)))
 
 
 def plan_packing(counts: dict[int, int], max_len: int) -> Plan:
@@ -71,9 +106,10 @@ def plan_packing(counts: dict[int, int], max_len: int) -> Plan:
 
     if stock[max_len]:
         use(Counter((max_len,)), int(stock[max_len]))
+    sums = SumIndex(stock)
     for size in (1, 2, 3):
         for length in range(max_len - 1, 0, -1):
-            while stock[length] and (found := _fillers(length, max_len - length, size, stock)):
+            while stock[length] and (found := sums.fillers(length, max_len - length, size)):
                 use(found, _times(found, stock))
 
     open_bins: dict[int, list[tuple[tuple[tuple[int, int], ...], int]]] = {}  # by gap
@@ -173,8 +209,10 @@ def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     Sequences hold ``max_len`` tokens at most, without gaps between pieces. What is sent to all tasks
     is bounded by ``max_len``, not by the corpus.
 
-    Nulls: a null text is an empty document, one token long; a null id is returned as it is. Repeated
-    rows are packed each. An empty table gives an empty result. Other columns are ignored.
+    Nulls: a null text is an empty document, one token long; a null id is returned as it is. Very long
+    texts are encoded whole, by one task each. Ties: pieces of one length are alike; they are dealt in
+    the order of reading. Repeated rows are packed each. An empty table gives an empty result. Other
+    columns are ignored, whatever their names.
     """
     spark = df.sparkSession
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))

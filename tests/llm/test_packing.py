@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 import zlib
@@ -10,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from stratalens.llm.packing import cut, lay_out, pack_documents, plan_packing
+from stratalens.llm.packing import SumIndex, cut, lay_out, pack_documents, plan_packing
 from stratalens.llm.tokens import Encoder
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -37,6 +38,31 @@ def test_plans_hold_every_piece_once(counts):
     lay_out(plan)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=25, max_size=25), st.lists(st.tuples(st.integers(1, 23), st.integers(1, 3)), max_size=40))
+def test_the_index_finds_a_combination_if_there_is_one(counts, asked):
+    """Against all combinations, while the stock falls."""
+    stock = np.array([0, *counts[1:]])
+    index = SumIndex(stock)
+    for length, size in asked:
+        if not stock[length]:
+            continue
+        gap = 24 - length
+        every = [c for c in itertools.combinations_with_replacement(range(1, gap + 1), size) if sum(c) == gap and all(stock[n] >= m for n, m in Counter((length, *c)).items())]
+        found = index.fillers(length, gap, size)
+        assert (found is not None) == bool(every)
+        if found:
+            assert tuple(sorted((found - Counter((length,))).elements())) in every
+            for n, m in found.items():
+                stock[n] -= m
+
+
+def test_a_table_with_columns_named_as_those_within(spark):
+    names = ["piece", "start", "length", "rank", "part", "nth", "sequence_id", "offset"]
+    got = pack_documents(spark.createDataFrame([(1, "a b", *range(8))], ["doc_id", "text", *names]), BYTES)
+    assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and got.count() == 1
+
+
 def test_exact_combinations_fill_sequences():
     assert bins(plan_packing({30: 5, 10: 5}, 40)) == 5
     assert bins(plan_packing({20: 3, 12: 3, 8: 3}, 40)) == 3
