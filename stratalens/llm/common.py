@@ -20,10 +20,13 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (single-machine tests) a new temporary folder is set.
+    Only where the session names none, and driver and executors are one process (tests), a new
+    temporary folder is set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="stratalens-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -100,6 +103,11 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in gone))
 
 
+def hash_bound(share: float) -> int:
+    """The 64-bit value that a hash is at or below with this probability; never so small that none is."""
+    return max(-(1 << 63), min((1 << 63) - 1, -(1 << 63) + int(share * (1 << 64)) - 1))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

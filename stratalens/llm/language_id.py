@@ -13,10 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratalens.llm.common import documents, free_name, materialise, small_batches, text_or_empty, trimmed, without
+from stratalens.llm.common import documents, free_name, hash_bound, materialise, small_batches, text_or_empty, trimmed, without
 
 SIZE_BITS = 12
 SIZE = 1 << SIZE_BITS
@@ -118,6 +118,11 @@ class LanguageModel:
         return out
 
 
+def sample_bound(wanted: int, rows: int) -> int:
+    """The hash up to which rows are drawn, so that of ``rows`` about twice ``wanted`` are, however many there are."""
+    return hash_bound(2 * wanted / max(rows, 1))
+
+
 def _sample_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [(lang, grams(text).astype(np.float16).tobytes()) for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if has_letter(text)]
@@ -126,14 +131,17 @@ def _sample_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def fit_language_model(df: DataFrame, learnable: Column, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int = PER_LANGUAGE) -> LanguageModel:
-    """Learn from rows where ``learnable`` holds and the language isn't null: about ``per_language`` of each, chosen by the hash of id and language."""
+    """Learn from rows where ``learnable`` holds and the language isn't null: ``per_language`` of each at most, those with the smallest hashes of id and language. The bound holds for labelled rows alone; every text is then judged whole."""
     spark = df.sparkSession
-    rows = df.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), text_or_empty(text_col).alias("text"), F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{lang_col}`")), F.lit(1_000_000)).alias("draw"), learnable.alias("ok")).where(F.col("ok") & F.col("lang").isNotNull())
+    draw = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{lang_col}`"))
+    rows = df.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), text_or_empty(text_col).alias("text"), draw.alias("draw"), learnable.alias("ok")).where(F.col("ok") & F.col("lang").isNotNull())
     sizes = rows.groupBy("lang").count().collect()
     if not sizes:
         return LanguageModel([], np.zeros((0, SIZE), np.float32))
-    rates = spark.createDataFrame([(r["lang"], int(min(1.0, per_language / r["count"]) * 1_000_000)) for r in sizes], "lang string, rate int")
-    chosen = rows.join(F.broadcast(rates), "lang").where("draw < rate").select("lang", "text")  # a row for each language
+    bounds = spark.createDataFrame([(r["lang"], sample_bound(per_language, r["count"])) for r in sizes], "lang string, bound long")
+    near = rows.join(F.broadcast(bounds), "lang").where("draw <= bound").select("lang", "text", "draw")  # a row for each language
+    first = Window.partitionBy("lang").orderBy("draw", F.xxhash64("text"))  # of twice per_language rows or so
+    chosen = near.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= per_language).select("lang", "text")
     with small_batches(spark, 200):
         found = materialise(chosen.mapInArrow(trimmed(_sample_grams), "lang string, grams binary"), "grams").orderBy("lang", "grams").collect()
     counts = np.stack([np.frombuffer(r.grams, np.float16).astype(np.float32) for r in found]) if found else np.zeros((0, SIZE), np.float32)
@@ -156,8 +164,9 @@ def identify_language(df: DataFrame, model: LanguageModel, text_col: str = "text
 
     A text without a letter, or null, is ``und`` with score 0, and rejected; so is every text if no
     language has been learned. Other texts get the nearest language, and are rejected as well if they
-    are too far from it. Rows are judged by text alone; repeated rows alike. An empty table gives an
-    empty result. Existing columns called lang_pred, score or rejected are replaced.
+    are too far from it. Very long texts are read whole. Ties: of equal cosines the language that comes
+    first by name. Rows are judged by text alone; repeated rows alike. An empty table gives an empty
+    result. Existing columns called lang_pred, score or rejected are replaced; others stay.
     """
     whole = without(df, "lang_pred", "score", "rejected")
     name = free_name(whole, "text_to_identify")

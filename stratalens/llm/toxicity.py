@@ -1,12 +1,15 @@
 """Toxicity by a weighted grammar of finite-state patterns over clauses.
 
-Five transducers read the words of a clause and write symbols: insults (a lexicon of words and stems,
-learned from labelled texts), threats, targets, negation and reported speech (fixed word lists in four
-languages). They are composed into one automaton whose state says what the clause has had so far: a
-target, a negation, a reporting verb, a threat that waits for its target. When an insult is read, or
-a threat meets a target, the automaton emits a match, whose kind is that state. A match weighs as much
-as its lexicon entry and its kind have proved right in the labelled sample; a clause counts by its
-heaviest match; the score is the probability that not every clause is harmless.
+The lexical transducer reads the words of a clause and writes classes: insults, threats, targets (as
+subject or object), negations, verbs of reported speech. A marker picks one insult or threat of the
+clause. Four more transducers each tell one thing of it: whether the clause has a target, on either side;
+for a threat, whether there is an object before the verb, in it or a target after it; whether a negation
+stands within reach before or after; and whether a reporting verb does. As what comes after isn't known
+when the event is read, each of them guesses, and accepts only if the rest of the clause bears the guess
+out. They are composed by the product construction into one machine whose paths through a clause are its
+matches. A match weighs as much as its lexicon entry and its kind have proved right in the labelled
+sample; a clause counts by its heaviest path; the score is the probability that not every clause is
+harmless.
 """
 
 from __future__ import annotations
@@ -14,40 +17,177 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalens.llm.common import documents, free_name, materialise, small_batches, text_or_empty, trimmed, without
-from stratalens.llm.language_id import fold
+from stratalens.llm.language_id import fold, sample_bound
 
-#: Labelled rows that are learned from, about; lexicon entries at most; lengths of stems.
-SAMPLE, ENTRIES, STEMS = 20_000, 2_000, (4, 5, 6)
+#: Labelled rows that are learned from at most; lengths of stems.
+SAMPLE, STEMS = 20_000, (4, 5, 6)
 #: An entry's texts must be toxic to this part at least; score from which a text is predicted toxic.
 PURE, THRESHOLD = 0.9, 0.7
-#: Words that a negation or a reporting verb reaches forward.
+#: Words that a negation or a reporting verb reaches, forward and back.
 REACH = 4
+#: What a listed insult weighs before any text is seen, and as how many texts that counts.
+LISTED, LISTED_TEXTS = 0.85, 2
 
-# Function words and verbs, in English, German, French and Spanish.
-TARGETS = "you your yours yourself he him his she her they them their people everyone du dich dir dein deine ihr euch sie er ihn ihm leute tu toi ton ta tes vous votre vos il elle ils elles lui leur gens tú tu te ti tus usted ustedes él ella ellos ellas gente".split()
+# Function words, verbs and insults, in English, German, French and Spanish.
+SUBJECTS = "your yours yourself he his she their du dein deine er tu ton ta tes votre vos il elle ils elles tú él ella ellos ellas".split()
+OBJECTS = "you him her them people everyone dich dir euch ihr sie ihn ihm leute te toi vous lui leur gens ti usted ustedes gente".split()
 NEGATIONS = "not no never none nobody nothing isn aren wasn weren don doesn didn won wouldn shouldn cannot nicht kein keine keinen nie niemals nichts ne pas jamais aucun aucune rien sin nunca jamás ningún ninguna nada".split()
 REPORTS = "said says say told tells wrote writes called calls claimed claims reported reports quoted quotes according sagte sagt schrieb schreibt nannte nennt behauptete laut dit disait écrit appelle appelait affirme selon dijo dice escribió llamó llama afirmó según".split()
 THREATS = "kill kills killing murder hurt destroy beat burn shoot stab strangle töten töte umbringen schlagen verletzen zerstören verbrennen sterben tuer tuerai frapper détruire brûler mourir matar mataré golpear destruir quemar morir".split()
+INSULTS = "idiot idiots idiotic moron morons stupid dumb fool fools loser losers worthless pathetic scum trash garbage jerk imbecile clown coward liar disgusting trottel dumm dummkopf blöd blödmann versager abschaum wertlos erbärmlich schwachkopf depp feigling lügner imbécile stupide crétin débile abruti minable ordure connard menteur lâche idiota idiotas estúpido estúpida imbécil tonto inútil basura escoria patético cretino cobarde mentiroso".split()
+#: Object pronouns that Spanish writes in one word with an infinitive.
+CLITICS = "te os lo la los las le les".split()
 
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;\n]")
-OTHER, END, TARGET, NEGATION, REPORT, THREAT, INSULT = range(7)  # an insult's symbol: INSULT + its number
+#: Classes of words. An insult's symbol in a text is INSULT + its number in the lexicon; AIMED is a threat with its object in one word.
+OTHER, END, SUBJECT, OBJECT, NEGATION, REPORT, THREAT, AIMED, INSULT = range(9)
+CLASSES = (OTHER, SUBJECT, OBJECT, NEGATION, REPORT, THREAT, AIMED, INSULT)
+_TARGETS, _EVENTS = (SUBJECT, OBJECT, AIMED), {THREAT: "threat", AIMED: "threat", INSULT: "insult"}
+
+
+@dataclass
+class Transducer:
+    """``step``: of a state and a symbol, (symbol written, next state) for each arc. A symbol is (class, kind): kind is empty but for the marked event."""
+
+    start: object
+    step: Callable[[object, tuple[int, str]], list[tuple[tuple[int, str], object]]]
+    final: Callable[[object], bool]
+
+
+def _marker() -> Transducer:
+    """Marks one event of the clause, each on a path of its own."""
+
+    def step(state, symbol):
+        arcs = [(symbol, state)]
+        if state == "before" and symbol[0] in _EVENTS:
+            arcs.append(((symbol[0], _EVENTS[symbol[0]]), "after"))
+        return arcs
+
+    return Transducer("before", step, lambda state: state == "after")
+
+
+def _target() -> Transducer:
+    """Writes + to a marked insult if the clause has a target anywhere."""
+
+    def step(state, symbol):
+        here = symbol[0] in _TARGETS
+        if symbol[1]:
+            if symbol[1] != "insult":
+                return [(symbol, "done")]
+            if state == "seen":
+                return [((symbol[0], symbol[1] + "+"), "done")]
+            return [((symbol[0], symbol[1] + "+"), "need"), (symbol, "forbid")]
+        if not here:
+            return [(symbol, state)]
+        return [] if state == "forbid" else [(symbol, {"none": "seen", "need": "done"}.get(state, state))]
+
+    return Transducer("none", step, lambda state: state in ("done", "forbid"))
+
+
+def _aim() -> Transducer:
+    """Accepts a marked threat only with an object before it, in it, or a target after it."""
+
+    def step(state, symbol):
+        if symbol[1]:
+            aimed = symbol[1][0] != "t" or symbol[0] == AIMED or state == "object"
+            return [(symbol, "done" if aimed else "need")]
+        if state == "none" and symbol[0] == OBJECT:
+            return [(symbol, "object")]
+        if state == "need" and symbol[0] in _TARGETS:
+            return [(symbol, "done")]
+        return [(symbol, state)]
+
+    return Transducer("none", step, lambda state: state == "done")
+
+
+def _within_reach(of: int, sign: str, reach: int = REACH) -> Transducer:
+    """Writes ``sign`` to the marked event if a word of class ``of`` stands at most ``reach`` words before or after it."""
+
+    def step(state, symbol):
+        name, left = state
+        if symbol[1]:
+            if name == "before" and left:
+                return [((symbol[0], symbol[1] + sign), ("done", 0))]
+            return [((symbol[0], symbol[1] + sign), ("need", reach)), (symbol, ("forbid", reach))]
+        here = symbol[0] == of
+        if name == "before":
+            return [(symbol, ("before", reach if here else max(0, left - 1)))]
+        if name == "need":
+            return [(symbol, ("done", 0))] if here else [(symbol, ("need", left - 1))] if left > 1 else []
+        if name == "forbid":
+            return [] if here else [(symbol, ("forbid", left - 1) if left > 1 else ("done", 0))]
+        return [(symbol, state)]
+
+    return Transducer(("before", 0), step, lambda state: state[0] in ("done", "forbid"))
+
+
+def compose(a: Transducer, b: Transducer) -> Transducer:
+    """The product: what ``a`` writes, ``b`` reads."""
+
+    def step(state, symbol):
+        p, q = state
+        return [(z, (p2, q2)) for y, p2 in a.step(p, symbol) for z, q2 in b.step(q, y)]
+
+    return Transducer((a.start, b.start), step, lambda state: a.final(state[0]) and b.final(state[1]))
+
+
+class Machine:
+    """A composed transducer as tables, less the states that no clause's end can be reached from."""
+
+    def __init__(self, whole: Transducer) -> None:
+        number, order, arcs = {whole.start: 0}, [whole.start], []
+        for state in order:
+            own = {}
+            for c in CLASSES:
+                for (_, kind), after in whole.step(state, (c, "")):
+                    if after not in number:
+                        number[after] = len(order)
+                        order.append(after)
+                    own.setdefault(c, []).append((kind, number[after]))
+            arcs.append(own)
+        self.final = {n for n, state in enumerate(order) if whole.final(state)}
+        alive, grown = set(self.final), True
+        while grown:
+            more = {n for n, own in enumerate(arcs) if n not in alive and any(after in alive for found in own.values() for _, after in found)}
+            alive |= more
+            grown = bool(more)
+        self.arcs = [{c: [x for x in found if x[1] in alive] for c, found in own.items()} for own in arcs]
+
+    def matches(self, classes: list[int]) -> list[tuple[int, str]]:
+        """(place, kind) of the marked event of each path that the clause's end accepts."""
+        paths: list[tuple[int, int, str]] = [(0, -1, "")]
+        for place, c in enumerate(classes):
+            paths = [(after, place, kind) if kind else (after, at, was) for state, at, was in paths for kind, after in self.arcs[state].get(c, ())]
+        return sorted((at, kind) for state, at, kind in paths if state in self.final)
+
+
+def composed() -> Transducer:
+    return reduce(compose, [_marker(), _target(), _aim(), _within_reach(NEGATION, "-"), _within_reach(REPORT, "~")])
+
+
+@lru_cache(maxsize=1)
+def machine() -> Machine:
+    return Machine(composed())
 
 
 class Grammar:
-    """The composed transducers with their weights."""
+    """The lexical transducer with its weights, and the weights of the kinds of matches."""
 
     def __init__(self, lexicon: dict[str, float] | None = None) -> None:
         #: Words as they are; stems as a word's beginning and "*". The value: how often such texts are toxic.
         self.entries = list(lexicon or {})
         self.weight = [float(w) for w in (lexicon or {}).values()]
-        self.words = {w: kind for kind, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS)) for w in words}
+        self.words = {w: kind for kind, words in ((SUBJECT, SUBJECTS), (OBJECT, OBJECTS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS)) for w in words}
+        self.words |= {verb + clitic: AIMED for verb in THREATS if verb.endswith(("ar", "er", "ir")) for clitic in CLITICS}
         self.words |= {mark: END for mark in ".!?;\n"}
         self.stems: dict[str, int] = {}
         for n, entry in enumerate(self.entries):
@@ -63,7 +203,7 @@ class Grammar:
         return self.__dict__ | {"_met": {}}
 
     def symbol(self, word: str) -> int:
-        """What the transducers write for a word: of several entries the heaviest."""
+        """What the lexical transducer writes for a word: of several entries the heaviest."""
         own = self.words.get(word, OTHER)
         if self.stems and own not in (END,):
             for n in STEMS:
@@ -91,30 +231,18 @@ class Grammar:
         symbols = self.symbols(text)
         if not symbols or max(symbols) < THREAT:
             return
-        found: list[tuple[str, float]] = []
-        target, negation, report, threat = False, 0, 0, False
-        for s in symbols:
-            if s == END:
+        begin = 0
+        while begin < len(symbols):
+            try:
+                end = symbols.index(END, begin)
+            except ValueError:
+                end = len(symbols)
+            own = symbols[begin:end]
+            if own and max(own) >= THREAT:
+                found = [(kind, self.weight[own[at] - INSULT] if own[at] >= INSULT else 1.0) for at, kind in machine().matches([min(s, INSULT) for s in own])]
                 if found:
                     yield found
-                found, target, negation, report, threat = [], False, 0, 0, False
-                continue
-            negation, report = max(0, negation - 1), max(0, report - 1)
-            if s == TARGET:
-                target = True
-                if threat:
-                    found.append((f"threat{'-' * bool(negation)}{'~' * bool(report)}", 1.0))
-                    threat = False
-            elif s == NEGATION:
-                negation = REACH
-            elif s == REPORT:
-                report = REACH
-            elif s == THREAT:
-                threat = True
-            elif s >= INSULT:
-                found.append((f"insult{'+' * target}{'-' * bool(negation)}{'~' * bool(report)}", self.weight[s - INSULT]))
-        if found:
-            yield found
+            begin = end + 1
 
     def score(self, text: str | None) -> float:
         harmless = 1.0 - self.base
@@ -183,7 +311,7 @@ def occurrences(text: str, named: set[str]) -> list[str]:
 
 
 def lexicon(texts: list[list[str]], found: dict[str, tuple[float, float]], vocabulary: int) -> dict[str, float]:
-    """The candidates that stay beyond chance if only different surroundings count (copies of a text give all its words the same ones); of words and stems that say the same, one. At most ``ENTRIES``."""
+    """The candidates that stay beyond chance if only different surroundings count (copies of a text give all its words the same ones); of words and stems that say the same, one."""
     texts_of: dict[str, set[int]] = {}
     around: dict[str, set[str]] = {}
     for n, own in enumerate(texts):
@@ -199,20 +327,32 @@ def lexicon(texts: list[list[str]], found: dict[str, tuple[float, float]], vocab
         bare = t.rstrip("*")
         wider = any(f"{bare[:k]}*" in chosen for k in STEMS if k <= len(bare))
         same = t.endswith("*") and any(c.rstrip("*").startswith(bare) and len(texts_of[c]) >= 0.95 * len(texts_of[t]) for c in chosen)
-        if not wider and not same and len(chosen) < ENTRIES:
+        if not wider and not same:
             chosen[t] = found[t][1]
     return chosen
 
 
+def with_listed(chosen: dict[str, float], counts: list[tuple[str, int, int]]) -> dict[str, float]:
+    """The learned entries and the listed insults that they don't cover, weighed by what the sample says of them."""
+    seen = {term: (pos, neg) for term, pos, neg in counts}
+    out = dict(chosen)
+    for word in INSULTS:
+        if word not in out and not any(f"{word[:k]}*" in chosen for k in STEMS if k <= len(word)):
+            pos, neg = seen.get(word, (0, 0))
+            out[word] = (pos + LISTED * LISTED_TEXTS) / (pos + neg + LISTED_TEXTS)
+    return out
+
+
 def fit_grammar(df: DataFrame, labels: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Grammar:
-    """Learn lexicon and weights from about ``sample`` rows of ``labels`` (doc_id, toxic) where ``learnable`` holds, chosen by the hash of the id.
+    """Learn lexicon and weights from ``sample`` rows at most of ``labels`` (doc_id, toxic) where ``learnable`` holds, those with the smallest hashes of the id.
 
-    Without toxic or without clean rows the lexicon is empty.
+    Without toxic or without clean rows the lexicon is empty. Repeated rows of labels, and copies of a
+    text, teach once.
     """
     spark = df.sparkSession
     known = labels.where(learnable & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("labelled_id"), (F.col("toxic") == 1).alias("toxic"))
-    rate = int(min(1.0, sample / max(1, known.count())) * 1_000_000)
-    drawn = known.where(F.pmod(F.xxhash64("labelled_id"), F.lit(1_000_000)) < rate)  # about ``sample`` rows
+    draw = F.xxhash64("labelled_id")
+    drawn = known.where(draw <= sample_bound(sample, known.count())).orderBy(draw, "labelled_id", "toxic").limit(sample).distinct()
     texts = df.select(F.col(f"`{id_col}`").cast("long").alias("labelled_id"), text_or_empty(text_col).alias("text"))
     texts = texts.join(F.broadcast(drawn), "labelled_id").select("text", "toxic")
     schema = "term string, toxic long, clean long"
@@ -227,8 +367,8 @@ def fit_grammar(df: DataFrame, labels: DataFrame, learnable: Column, id_col: str
         least = max(2, math.ceil(8 / -math.log(prior)))
         seen = materialise(totals(texts.where("toxic").mapInArrow(trimmed(_counts(terms)), schema)), "terms")
         vocabulary = seen.count()
-        often = seen.where(F.col("toxic") >= least).orderBy(F.desc("toxic"), "term").limit(20 * ENTRIES)
-        wanted = spark.sparkContext.broadcast({r.term for r in often.select("term").collect()})  # 20 * ENTRIES at most
+        often = seen.where((F.col("toxic") >= least) | F.col("term").isin(INSULTS))
+        wanted = spark.sparkContext.broadcast({r.term for r in often.select("term").collect()} | set(INSULTS))  # terms of the sample
         counted = [tuple(r) for r in totals(texts.mapInArrow(trimmed(_counts(terms, wanted)), schema)).collect()]
         found = candidates(counted, toxic, clean, vocabulary)
         named = spark.sparkContext.broadcast(set(found))
@@ -238,7 +378,7 @@ def fit_grammar(df: DataFrame, labels: DataFrame, learnable: Column, id_col: str
                 yield pa.RecordBatch.from_arrays([pa.array([occurrences(t.as_py(), named.value) for t in batch.column(0)], pa.list_(pa.string()))], ["terms"])
 
         has = [r.terms for r in texts.where("toxic").select("text").mapInArrow(trimmed(candidates_in), "terms array<string>").collect()]  # of the sample
-        grammar = Grammar(lexicon(has, found, vocabulary))
+        grammar = Grammar(with_listed(lexicon(has, found, vocabulary), counted))
         share = spark.sparkContext.broadcast(grammar)
 
         def kinds(text: str) -> set[str]:
@@ -267,9 +407,10 @@ def _score(grammar, at: int, threshold: float):
 def score_toxicity(df: DataFrame, grammar: Grammar, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``df`` and score (0 to 1) and predicted (1 if score >= threshold, else 0) of each whole text.
 
-    Null and empty texts have the score of a text without matches. Rows are judged by text alone;
-    repeated rows alike. An empty table gives an empty result. Existing columns called score or
-    predicted are replaced.
+    Null and empty texts have the score of a text without matches. Very long texts are read whole, clause
+    by clause. Ties: of matches that weigh the same either may count, as the score is the same. Rows are
+    judged by text alone; repeated rows alike. An empty table gives an empty result. Existing columns
+    called score or predicted are replaced; others stay.
     """
     whole = without(df, "score", "predicted")
     name = free_name(whole, "text_to_score")
