@@ -23,15 +23,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratalens.llm.common import documents, materialise, new_path, shuffle_width, small_batches, text_or_empty, trimmed
 from stratalens.llm.tokens import encoder
 
 MAGIC, CHUNK, SPAN = b"SLDAC001", 8, 512
-#: Tokens after which a task begins another file.
-FILE_TOKENS = 2_000_000
+#: Tokens after which a task begins another file, bytes of text that a task has, about.
+FILE_TOKENS, PART_BYTES = 2_000_000, 128_000_000
 #: Pieces that an encoder's table holds: not many, as its task sorts whole texts as well.
 KNOWN = 450_000
 
@@ -124,7 +124,7 @@ def open_file(uri: str) -> TokenFile:
 _WRITTEN = "part int, nth int, path string, documents long, tokens long, bytes long"
 
 
-def _write(folder: str, path: str, end_id: int):
+def _write(folder: str, path: str, end_id: int, file_tokens: int):
     schema = pa.schema([("part", pa.int32()), ("nth", pa.int32()), ("path", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +152,7 @@ def _write(folder: str, path: str, end_id: int):
                 ids.append(own + end)
                 counts.append(len(ids[-1]) // 4)
                 held += counts[-1]
-                if held >= FILE_TOKENS:
+                if held >= file_tokens:
                     yield close()
                     held, nth = 0, nth + 1
         if docs:
@@ -161,25 +161,27 @@ def _write(folder: str, path: str, end_id: int):
     return run
 
 
-def write_token_files(df: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_token_files(df: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", file_tokens: int = FILE_TOKENS) -> DataFrame:
     """Write the ids of all texts, each followed by ``end_id``, in ascending order of the id; one row for each file: path, documents, tokens, bytes, start.
 
     ``folder`` is a URI that the driver and all executors reach. ``start`` is the number of tokens in
-    the files before. Rows with a null id come first; rows with one id in the order of their texts'
-    hashes. A null text counts as empty. An empty table writes no file. Other columns are ignored.
+    the files before: a running sum over the tasks, and one over the files of each. Rows with a null id
+    come first; rows with one id in the order of their texts' hashes, repeated rows each. A null text
+    counts as empty. A very long text is one document of one file, whatever ``file_tokens`` is. An empty
+    table writes no file. Other columns are ignored, whatever their names.
     """
     spark, text = df.sparkSession, text_or_empty(text_col)
     system, root = pyarrow.fs.FileSystem.from_uri(folder)
     system.create_dir(root)
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("tie"))
-    dealt = rows.repartitionByRange(2 * shuffle_width(spark), "id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dealt = rows.repartitionByRange(max(2 * shuffle_width(spark), size // PART_BYTES + 1), "id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
     with small_batches(spark):
-        files = materialise(dealt.mapInArrow(trimmed(_write(folder, tokenizer_path, end_id)), _WRITTEN), "token-files")
-    start, found = 0, []
-    for f in files.orderBy("part", "nth").collect():  # a row for each file
-        found.append((f.path, f.documents, f.tokens, f.bytes, start))
-        start += f.tokens
-    return spark.createDataFrame(found, "path string, documents long, tokens long, bytes long, start long")
+        files = materialise(dealt.mapInArrow(trimmed(_write(folder, tokenizer_path, end_id, file_tokens)), _WRITTEN), "token-files")
+    before = lambda w: F.coalesce(F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = files.groupBy("part").agg(F.sum("tokens").alias("tokens")).select("part", before(Window.orderBy("part")).alias("base"))  # a row for each task
+    within = files.withColumn("within", before(Window.partitionBy("part").orderBy("nth")))
+    return within.join(parts, "part").select("path", "documents", "tokens", "bytes", (F.col("base") + F.col("within")).alias("start"))
 
 
 def _read(with_ids: bool):

@@ -24,7 +24,7 @@ def test_round_trip_and_single_tokens():
             assert (f.slice(i, j) == ids[i:j]).all()
 
 
-def test_files_hold_all_documents_in_order(docs, tmp_path, monkeypatch):
+def test_files_hold_all_documents_in_order(docs, tmp_path):
     r = random.Random(3)
     rows = [(i, " ".join(r.choice(["Über", "the", "dog's", "42", "\n", "naïve."]) for _ in range(r.randrange(0, 60)))) for i in range(300)]
     rows += [(1000, None), (1001, "word " * 40_000), (1002, "same"), (1002, "same")]
@@ -49,9 +49,20 @@ def test_nulls_and_empty(docs, tmp_path):
     assert none.count() == 0 and read_token_files(none).count() == 0
 
 
-def test_files_are_bounded(docs, tmp_path):
-    rows = [(i, "a b c d") for i in range(50)]
-    limit = token_files.FILE_TOKENS
-    assert limit <= 4_000_000
-    files = write_token_files(docs(rows), f"file://{tmp_path}/c", WORDS)
-    assert files.agg({"tokens": "sum"}).first()[0] == 250
+def test_tasks_roll_over_to_further_files(docs, tmp_path):
+    rows = [(i, "a b c d") for i in range(500)] + [(1000, "word " * 900)]
+    files = write_token_files(docs(rows), f"file://{tmp_path}/c", WORDS, file_tokens=60).orderBy("start").collect()
+    assert len(files) > 40 and all(f.tokens <= 64 for f in files[:-1]) and files[-1].tokens >= 901
+    assert [f.start for f in files] == [sum(g.tokens for g in files[:n]) for n in range(len(files))]
+    assert sum(f.tokens for f in files) == 5 * 500 + 901
+    again = write_token_files(docs(rows), f"file://{tmp_path}/d", WORDS)
+    small = write_token_files(docs(rows), f"file://{tmp_path}/e", WORDS, file_tokens=60)
+    assert sorted(map(tuple, read_token_files(again).collect())) == sorted(map(tuple, read_token_files(small).collect()))
+    assert token_files.FILE_TOKENS <= 4_000_000
+
+
+def test_columns_named_as_those_within(spark, tmp_path):
+    names = ["id", "tie", "start", "tokens", "part", "path", "n_tokens"]
+    frame = spark.createDataFrame([(1, "a b", *range(7))], ["doc_id", "text", *names])
+    got = read_token_files(write_token_files(frame, f"file://{tmp_path}/f", WORDS))
+    assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and got.first()[:3] == (1, 0, 3)
