@@ -8,6 +8,10 @@ token only as far back as the merge list's lookahead reaches: a merge takes its
 lower merge, which may thereby lose its own left part, and so on down the list of ranks. Once more
 than that has been read, the paths back from the last positions have met, and all before is final:
 it is given out and forgotten. So memory is bounded by the merge list, not by the text.
+
+A text streams through in chunks, pre-tokens and all. What is sure to be whole pre-tokens goes on, the
+rest waits for the next chunk; a pre-token that doesn't end for thousands of characters is fed to the
+transducer as it comes. Neither the text nor its pre-tokens are ever held together.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ import codecs
 import json
 import re
 from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -31,6 +35,14 @@ from stratalens.llm.tokens import BLANK_AHEAD, LETTERS
 #: How byte-level vocabularies split a text before merging.
 PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
+#: The kinds of characters that runs are of: letters, numbers, others; and white space.
+RUNS = tuple(map(regex.compile, (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+")))
+SPACE_RUN = regex.compile(r"\s+")
+#: Characters of a chunk; of the beginning of a pre-token that waits for its end, at most, before it is fed on.
+CHUNK, WAITING = 1 << 16, 1 << 12
+#: A pre-token's kind is decided by so many characters.
+DECIDED = 3
+
 #: A piece that is one pre-token for sure.
 ONE_WORD = re.compile(f" ?[{LETTERS}]+").fullmatch
 
@@ -287,12 +299,25 @@ class Codec:
             return b"".join(found)
 
     def encode(self, text: str) -> np.ndarray:
-        if self.special is None or not self.special.search(text):
-            return np.frombuffer(self._plain(text), np.uint32)
-        out = b""
-        for part in self.special.split(text):  # a special token's string is one token
-            out += array("I", [self.merges.special[part]]).tobytes() if part in self.merges.special else self._plain(part)
-        return np.frombuffer(out, np.uint32)
+        """The ids of a whole text."""
+        return np.frombuffer(b"".join(self.stream(text[at : at + CHUNK] for at in range(0, len(text), CHUNK))), np.uint32)
+
+    def stream(self, chunks: Iterable[str]) -> Iterator[bytes]:
+        """The ids of the text that the chunks make up, four bytes each, as they become final."""
+        most, machine, rest = max((len(x) for x in self.merges.special), default=1) - 1, PreTokens(self), ""
+        for chunk in chunks:
+            rest += chunk
+            while self.special is not None and (found := self.special.search(rest)):
+                # a special token's string is one token, and ends what is before it as the text's end does
+                yield from machine.feed(rest[: found.start()])
+                yield from machine.end()
+                yield array("I", [self.merges.special[found[0]]]).tobytes()
+                rest = rest[found.end() :]
+            sure = max(0, len(rest) - most) if self.special is not None and "<" in rest[-most:] else len(rest)
+            yield from machine.feed(rest[:sure])
+            rest = rest[sure:]
+        yield from machine.feed(rest)
+        yield from machine.end()
 
     def decode(self, ids: Sequence[int]) -> str:
         return "".join(self.decoded(ids))
@@ -305,6 +330,81 @@ class Codec:
         yield machine.decode(b"", True)
 
 
+class PreTokens:
+    """Cuts a text that comes in chunks into pre-tokens and encodes them; holds back what may go on."""
+
+    def __init__(self, own: Codec) -> None:
+        self.own, self.stream = own, own.transducer
+        self.waiting = ""  # begins where a pre-token begins
+        self.run: regex.Pattern | None = None  # the kind of a pre-token that is being fed to the transducer
+        self.blank = ""  # of a run of white space, its last character
+
+    def feed(self, text: str) -> Iterator[bytes]:
+        text, self.waiting = self.waiting + text, ""
+        while text:
+            if self.run is not None:
+                got = self.run.match(text)
+                size = got.end() if got else 0
+                yield self._go_on(text[:size])
+                if size == len(text):
+                    return
+                yield array("I", self.stream.end()).tobytes()
+                text, blank, self.run, self.blank = text[size:], self.blank, None, ""
+                if blank == " ":  # goes with what follows
+                    text = blank + text
+                elif blank:  # any other last one is a pre-token by itself
+                    yield self.own._plain(blank)
+                continue
+            cut = self._sure(text)
+            if cut:
+                yield self.own._plain(text[:cut])
+                text = text[cut:]
+            if len(text) <= WAITING:
+                self.waiting = text
+                return
+            text = self._open(text)
+
+    def end(self) -> Iterator[bytes]:
+        """Nothing more comes, as at the end of the text."""
+        if self.run is not None:
+            yield array("I", self.stream.feed(self.blank.encode("utf-8", "surrogatepass"))).tobytes()
+            yield array("I", self.stream.end()).tobytes()
+            self.run, self.blank = None, ""
+        if self.waiting:
+            yield self.own._plain(self.waiting)
+            self.waiting = ""
+
+    @staticmethod
+    def _sure(text: str) -> int:
+        """How much of it is whole pre-tokens, whatever comes next."""
+        at = len(text)
+        while (at := text.rfind(" ", 1, at)) > 0:  # a blank between two others: a pre-token ends ahead of it
+            if at + 1 < len(text) and not text[at - 1].isspace() and not text[at + 1].isspace():
+                return at
+        sure = 0
+        for found in PRE_TOKENS.finditer(text):
+            if found.start() + DECIDED > len(text) or found.end() == len(text):
+                break
+            if not SPACE_RUN.match(text, found.end() - 1):  # white space depends on what follows it
+                sure = found.end()
+        return sure
+
+    def _open(self, text: str) -> str:
+        """Begin to feed the pre-token that ``text`` is the beginning of: one run of a kind, perhaps after a blank. What is to be read next."""
+        if SPACE_RUN.match(text) and (text[0] != " " or SPACE_RUN.match(text, 1)):
+            self.run = SPACE_RUN
+            return text
+        at = int(text[0] == " ")
+        self.run = next(kind for kind in RUNS if kind.match(text, at))
+        list(self.stream.feed(text[:at].encode()))  # a byte alone is never final
+        return text[at:]
+
+    def _go_on(self, some: str) -> bytes:
+        if self.run is SPACE_RUN and some:  # the last one may belong to what follows
+            some, self.blank = self.blank + some[:-1], some[-1]
+        return array("I", self.stream.feed(some.encode("utf-8", "surrogatepass"))).tobytes()
+
+
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
     """This process's codec for a vocabulary file."""
@@ -336,8 +436,9 @@ def encode_and_decode(df: DataFrame, tokenizer_path: str, text_col: str = "text"
 
     Ids are those of the vocabulary's merge list; a special token's string in a text is that token.
 
-    Nulls: a null text counts as empty, without ids; nulls elsewhere stay. Repeated rows are encoded
-    each. An empty table gives an empty result. Existing columns called ids or decoded are replaced.
+    Nulls: a null text counts as empty, without ids; nulls elsewhere stay. A very long text streams
+    through in constant memory; only its row (the text, its ids, the text again) is held whole. Ties
+    can't occur: a text has one encoding. Repeated rows are encoded each. An empty table gives an empty result. Existing columns called ids or decoded are replaced.
     """
     whole = without(df, "ids", "decoded")
     name = free_name(whole, "text_to_encode")

@@ -1,11 +1,14 @@
 import hashlib
 import json
 import random
+import resource
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from stratalens.llm import bpe_stream
 from stratalens.llm.bpe_stream import Codec, MergeList, Transducer, _byte_of_character, encode_and_decode
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -58,6 +61,41 @@ def test_long_pretokens_stream_in_bounded_memory(own, tok):
         assert early + list(t.end()) == tok.encode(text, add_special_tokens=False).ids
 
 
+def test_any_chunks_give_the_same_ids(own, tok, monkeypatch):
+    """Chunks of any size, long runs of every kind, and so small a bound that most pre-tokens are fed as they come."""
+    r = random.Random(6)
+    alphabet = ["a", "the", " ", "  ", "\n", "\t", "é", "中", "'s", "'", "'l", "'re", "1", "99", "½", "<|endoftext|>", "<|", "<", " the", "=", "-", "...", "\x1c", "\x85", "A" * 30, " " * 30, "\n" * 20, "7" * 25, "'" * 9]
+    for waiting in (3, 8, 1 << 12):
+        monkeypatch.setattr(bpe_stream, "WAITING", waiting)
+        for _ in range(1500):
+            text = "".join(r.choice(alphabet) for _ in range(r.randrange(0, 25)))
+            chunks, at = [], 0
+            while at < len(text):
+                step = r.choice([1, 2, 3, 7, 40])
+                chunks.append(text[at : at + step])
+                at += step
+            got = np.frombuffer(b"".join(own.stream(chunks)), np.uint32).tolist()
+            assert got == tok.encode(text, add_special_tokens=False).ids, (waiting, chunks)
+
+
+def test_a_text_of_100_mb_needs_constant_memory(own, tok):
+    r = random.Random(7)
+    words = [f" {r.choice(['the', 'Über', 'x1', 'dog', 'naïve'])}{r.choice([',', '', '.', ' (and)'])}" for _ in range(12_000)]
+    plain = "".join(words)
+
+    def chunks():
+        for n in range(100_000_000 // 65_536):
+            if n % 500 == 250:
+                yield "z" * 100_000  # one pre-token
+                yield " \n" * 20_000
+            yield plain[:65_536]
+
+    list(own.stream([plain[:65_536], " zz" + "z" * 50_000, " \n" * 5000]))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    tokens = sum(len(ids) // 4 for ids in own.stream(chunks()))
+    assert tokens > 20_000_000 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 40_000  # KB
+
+
 def test_decoding_arbitrary_ids_replaces_broken_bytes(own, tok):
     r = random.Random(4)
     for _ in range(300):
