@@ -7,14 +7,13 @@ from the merged ``twice``. Second pass: only lines found there travel further, w
 key, counted in advance within each task; documents are then counted exactly, and the first occurrence
 is chosen where one is to stay. Third pass: the keys that lose their lines go to all tasks if they are
 few (their number is checked), and no text is shuffled; otherwise the lines to drop are joined to their
-rows. The filters are sized from a count of the lines, up to ``MOST_BITS``; on larger corpora more lines
+rows. The filters are sized from a count of the lines, up to ``bloom.MOST_BITS``; on larger corpora more lines
 are suspected, which costs shuffle but never changes the result.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,22 +22,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.llm.common import documents, free_name, materialise, shuffle_width, small_batches, tell_entries, text_or_empty, trimmed, with_entry_ids, without
+from stratalens.llm.bloom import SEGMENT_SQL, entered, filter_bits_for, loaded, seen_twice
+from stratalens.llm.common import documents, free_name, materialise, small_batches, tell_entries, text_or_empty, trimmed, with_entry_ids, without
 
-#: Bits of a filter for each line; its size in bits as a power of two, at least and at most. So the broadcast filter has 128 MB at most.
-BITS_A_LINE, LEAST_BITS, MOST_BITS = 16, 20, 30
-#: Bits of a segment, as a power of two, at least, and segments of a filter at most, so too; a hash lies in one segment only.
-SEGMENT_BITS, SEGMENTS = 17, 9
-#: Tasks whose filters one task merges at a time, in the first round.
-FAN_IN = 32
 #: Keys that are sent to all tasks, at most; with more the lines to drop are joined to their rows.
 SENT_KEYS = 500_000
 #: Occurrences that a task gathers before it writes entries, and occurrences in an entry at most.
 FLUSH, ENTRY = 200_000, 500
 BLANK = b" \t\n\x0b\x0c\r"
 
-_SEGMENT = pa.schema([("segment", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
-_SEGMENT_SQL = "segment int, once binary, twice binary"
 _ENTRY = pa.schema([("digest", pa.binary()), ("n_docs", pa.int64()), ("row_a", pa.list_(pa.int64())), ("row_b", pa.list_(pa.int64())), ("at", pa.list_(pa.int32())), ("first_id", pa.int64()), ("first_a", pa.int64()), ("first_b", pa.int64()), ("first_at", pa.int32()), ("probe", pa.int64())])
 
 
@@ -51,79 +43,26 @@ def _long_enough(key: bytes, least: int) -> bool:
     return len(key) >= least and (least <= 1 or len(key.decode("utf-8", "surrogatepass")) >= least)
 
 
-def filter_bits_for(lines: int) -> int:
-    """The filter's size for so many lines, as a power of two."""
-    return min(max((BITS_A_LINE * max(lines, 1) - 1).bit_length(), LEAST_BITS), MOST_BITS)
-
-
-def segment_bits(bits: int) -> int:
-    return min(bits, max(SEGMENT_BITS, bits - SEGMENTS))
-
-
-class Filter:
-    """A Bloom filter in which a hash has three bits, all in one segment."""
-
-    def __init__(self, bits: int) -> None:
-        self.bits, self.data = bits, np.zeros(1 << bits >> 3, np.uint8)
-        self.part = segment_bits(bits)
-
-    def places(self, hashes: np.ndarray) -> np.ndarray:
-        low = np.uint64((1 << self.part) - 1)
-        first, step = hashes & low, (hashes >> np.uint64(32)) | np.uint64(1)
-        spread = hashes * np.uint64(0x9E3779B97F4A7C15)
-        segment = spread >> np.uint64(64 - (self.bits - self.part)) if self.bits > self.part else np.zeros_like(hashes)
-        return np.stack([(segment << np.uint64(self.part)) | ((first + np.uint64(i) * step) & low) for i in range(3)])
-
-    def add(self, places: np.ndarray) -> None:
-        np.bitwise_or.at(self.data, (places >> np.uint64(3)).ravel(), (np.uint8(1) << (places & np.uint64(7)).astype(np.uint8)).ravel())
-
-    def has(self, places: np.ndarray) -> np.ndarray:
-        return ((self.data[places >> np.uint64(3)] >> (places & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0)
-
-
 def _fill(bits: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice, hashed = Filter(bits), Filter(bits), xxhash.xxh64_intdigest
+        hashed = xxhash.xxh64_intdigest
 
-        def enter(values: list[int]) -> None:
-            seen, n = np.unique(np.array(values, np.uint64), return_counts=True)
-            at = once.places(seen)
-            twice.add(at[:, (n > 1) | once.has(at)])
-            once.add(at)
+        def hashes() -> Iterator[np.ndarray]:
+            held: list[int] = []
+            for batch in batches:
+                for text in batch.column(0):
+                    held += {hashed(k) for k in line_keys(text.as_py()) if _long_enough(k, least)}
+                    if len(held) > 500_000:
+                        yield np.array(held, np.uint64)
+                        held = []
+            if held:
+                yield np.array(held, np.uint64)
 
-        held: list[int] = []
-        for batch in batches:
-            for text in batch.column(0):
-                held += {hashed(k) for k in line_keys(text.as_py()) if _long_enough(k, least)}
-                if len(held) > 500_000:
-                    enter(held)
-                    held = []
-        if held:
-            enter(held)
-        size = 1 << once.part >> 3
-        for s in range(len(once.data) // size):
-            a, b = once.data[s * size : (s + 1) * size], twice.data[s * size : (s + 1) * size]
-            if a.any():
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([zlib.compress(a.tobytes(), 1)]), pa.array([zlib.compress(b.tobytes(), 1)])], schema=_SEGMENT)
+        yield from entered(hashes(), bits)
 
     return run
 
 
-def _merge_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    merged: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    unpack = lambda x: np.frombuffer(zlib.decompress(x), np.uint8)
-    for batch in batches:
-        for s, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-            a, b = unpack(a), unpack(b)
-            if s in merged:
-                once, twice = merged[s]
-                merged[s] = once | a, twice | b | (once & a)
-            else:
-                merged[s] = a, b
-    for s, (once, twice) in merged.items():
-        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([zlib.compress(once.tobytes(), 1)]), pa.array([zlib.compress(twice.tobytes(), 1)])], schema=_SEGMENT)
-
-
 def _first(a: tuple, b: tuple) -> tuple:
     """The earlier of two (id, row_a, row_b, line): null ids come last."""
     order = lambda x: (x[0] is None, x[0] or 0, *x[1:])
@@ -134,10 +73,7 @@ def _suspects(bits: int, least: int, twice_packed, with_rows: bool):
     """Entries of the suspected lines of a task: how many documents have one, and its first occurrence; ``with_rows``: all its occurrences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twice, hashed = Filter(bits), xxhash.xxh64_intdigest
-        size = 1 << twice.part >> 3
-        for s, packed in twice_packed.value:
-            twice.data[s * size : (s + 1) * size] = np.frombuffer(zlib.decompress(packed), np.uint8)
+        twice, hashed = loaded(twice_packed.value, bits), xxhash.xxh64_intdigest
         groups: dict[tuple[bytes, int], list[tuple]] = {}
         held = 0
 
@@ -232,13 +168,7 @@ def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     text = text_or_empty(text_col)
     n_lines = (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
     bits = filter_bits_for(df.agg(F.sum(n_lines)).first()[0] or 0) if filter_bits is None else filter_bits
-    width = min(shuffle_width(spark), 1 << (bits - segment_bits(bits)))
-    segments = df.select(text.alias("text")).mapInArrow(trimmed(_fill(bits, min_chars)), _SEGMENT_SQL)
-    merged = segments.withColumn("group", F.floor(F.spark_partition_id() / FAN_IN)).repartition(width, "segment", "group").drop("group").mapInArrow(trimmed(_merge_segments), _SEGMENT_SQL)
-    merged = merged.repartition(width, "segment").mapInArrow(trimmed(_merge_segments), _SEGMENT_SQL).select("segment", "twice")
-    with small_batches(spark):
-        found = merged.collect()
-    twice = spark.sparkContext.broadcast([(r.segment, bytes(r.twice)) for r in found])  # 2^bits bits at most
+    twice = seen_twice(df.select(text.alias("text")).mapInArrow(trimmed(_fill(bits, min_chars)), SEGMENT_SQL), bits)
 
     doc = F.col(f"`{id_col}`").cast("long")
     row_a, row_b = F.xxhash64(doc, text), F.xxhash64(text, F.lit(1), doc)

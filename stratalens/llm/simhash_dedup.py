@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from stratalens.llm.common import documents, free_name, materialise, shuffle_width, tell_entries, text_or_empty, with_entry_ids
 from stratalens.llm.components import connected_components
+from stratalens.llm.jaccard_dedup import drop_similar_texts
 
 SEED = 42
 #: Identifiers in an entry at most, documents that a task gathers before it writes entries.
@@ -314,12 +315,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, max_bits: int = 4) -> DataFrame:
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, max_bits: int | None = None) -> DataFrame:
     """The rows of ``df`` whose id is the smallest of their near-duplicate component.
 
-    Rows with a null id stay. Of repeated rows (one id) all stay. Columns and their names are those
-    of ``df``.
+    With ``max_bits`` texts are linked by their fingerprints. Without, those whose sets of shingles have
+    a Jaccard similarity of 0.8 or more: there fingerprints can't give right results, and links come
+    from a prefix join of the sets (``jaccard_dedup``). Rows with a null id stay. Of repeated rows (one
+    id) all stay. Columns and their names are those of ``df``.
     """
+    if max_bits is None:
+        return drop_similar_texts(df, id_col, text_col, words)
     found = near_duplicates(df, id_col, text_col, words, max_bits)
     gone = free_name(df, "gone_id")
     losers = found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()

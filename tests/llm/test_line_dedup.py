@@ -3,7 +3,8 @@ import random
 import numpy as np
 import pytest
 
-from stratalens.llm.line_dedup import BITS_A_LINE, MOST_BITS, OP4_SQL, Filter, drop_repeated_lines, filter_bits_for, line_keys
+from stratalens.llm.bloom import BITS_A_LINE, MOST_BITS, Filter, filter_bits_for
+from stratalens.llm.line_dedup import OP4_SQL, drop_repeated_lines, line_keys
 
 
 def brute(rows, min_docs, min_chars, keep):
