@@ -102,3 +102,35 @@ DEICTIC = ("I", "me", "my", "you", "your")
 def deictic_words(text: Column) -> Column:
     """The deictic words that a text has as words."""
     return F.array_intersect(F.array(*(F.lit(w) for w in DEICTIC)), F.split(text, r"[^\p{L}\p{N}]+"))
+
+
+#: The alphabet of base 32, the start and factor of the 32-bit hash.
+BASE32, FNV_START, FNV_FACTOR = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 2_166_136_261, 16_777_619
+
+
+def base32(hexadecimal: Column) -> Column:
+    """Hexadecimal digits as base 32 without padding: five bits a character, zeros at the end."""
+    bits = F.array_join(F.transform(F.filter(F.split(hexadecimal, ""), lambda c: c != ""), lambda c: F.lpad(F.conv(c, 16, 2), 4, "0")), "")
+    whole = F.rpad(bits, ((F.length(bits) + 4) / 5).cast("int") * 5, "0")
+    fives = F.transform(F.sequence(F.lit(0), (F.length(whole) / 5).cast("int") - 1), lambda i: F.substring(F.lit(BASE32), F.conv(F.substring(whole, i * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1)))
+    return F.when(F.length(hexadecimal) > 0, F.array_join(fives, "")).otherwise("")
+
+
+def from_base32(text: Column) -> Column:
+    """The hexadecimal digits (lower case) of base 32; null where it isn't base 32."""
+    bits = F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.lpad(F.conv(F.instr(F.lit(BASE32), c) - 1, 10, 2), 5, "0")), "")
+    size = (F.length(bits) / 8).cast("int") * 2
+    digits = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.lower(F.conv(F.substring(bits, i * 4 + 1, F.lit(4)), 2, 16)))
+    return F.when(text.rlike("^[A-Z2-7]+$"), F.array_join(digits, ""))
+
+
+def identifier(prefix: str, hexadecimal: Column) -> Column:
+    return F.concat(F.lit(prefix), base32(hexadecimal))
+
+
+def fnv1a32(text: Column) -> Column:
+    """The 32-bit FNV-1a hash over a text's code points."""
+    low = lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))
+    # the factor in two parts, so that products stay within 64 bits
+    step = lambda h, c: low(low((h.bitwiseXOR(F.ascii(c).cast("long"))) * F.lit(FNV_FACTOR & 0xFFFF)) + F.shiftleft(low(h.bitwiseXOR(F.ascii(c).cast("long")) * F.lit(FNV_FACTOR >> 16)).bitwiseAND(F.lit(0xFFFF)), 16))
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(FNV_START).cast("long"), step)

@@ -30,7 +30,6 @@ SERVING = T.StructType(
 TARGET = ["space_id", "memory_id", "revision_id"]
 #: Kinds of elements in a document, in their fixed order.
 KINDS = ("MemoryMeta", "Section", "Entity", "Tag", "State", "Event", "Relation", "MemoryRef", "Source", "Quote", "Extension")
-INTENTS = ("edit", "transition", "correction", "supersession", "merge")
 
 
 def visible_at(generation: Column, valid_until: Column, at: int | Column) -> Column:

@@ -47,9 +47,18 @@ def lexical_match(spaces: list[str], cues: list[str], memories: list[int] = (),
     return constraints(spaces, memories, entities, tags) & F.col("current") & ~F.col("retired") & contains_any(F.col("text"), list(cues))
 
 
-def semantic_match(spaces: list[str], at: int, memories: list[int] = (), entities: list[str] = (), tags: list[str] = ()) -> Column:
+def finite_score() -> Column:
     score = F.col("score")
-    return score.isNotNull() & ~F.isnan(score) & (F.abs(score) < float("inf")) & constraints(spaces, memories, entities, tags) & live(at)
+    return score.isNotNull() & ~F.isnan(score) & (F.abs(score) < float("inf"))
+
+
+def semantic_scope(spaces: list[str], at: int, memories: list[int] = (), entities: list[str] = (), tags: list[str] = ()) -> Column:
+    """What a record must be for its vectors to count."""
+    return constraints(spaces, memories, entities, tags) & live(at)
+
+
+def semantic_match(spaces: list[str], at: int, memories: list[int] = (), entities: list[str] = (), tags: list[str] = ()) -> Column:
+    return finite_score() & semantic_scope(spaces, at, memories, entities, tags)
 
 
 def history_match(spaces: list[str], at: int, cues: list[str] = (), memories: list[int] = (), entities: list[str] = (), tags: list[str] = ()) -> Column:

@@ -15,9 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalens.functions.scores import CONVERGED, EPSILON, FLOW, HOP_DECAY, ITERATIONS, RESTART
+from stratalens.sources.store import settled
 
-#: Edges of a scope graph at most; larger ones are refused.
+#: Edges of a scope graph at most, each with both directions; larger ones are refused.
 MAX_EDGES = 100_000
+#: Rounds of diffusion after which the scores are written.
+CUT = 4
 
 
 def _seed_frame(spark: SparkSession, seeds: dict[str, float]) -> DataFrame:
@@ -76,18 +79,18 @@ def walk(edges: list[tuple[str, str, float]], seeds: list[tuple[str, float]], ma
 
 
 def bounded_activation(edges: DataFrame, seeds: list[tuple[str, float]], max_tags: int, max_edges: int, max_hops: int) -> DataFrame:
-    """``walk`` over a scope graph (src, dst, dst_id, signal), which has ``MAX_EDGES`` edges at most: (tag, score, hops, visits, truncated)."""
+    """``walk`` over a scope graph (src, dst, dst_id, signal), which has ``MAX_EDGES`` edges at most, in both directions: (tag, score, hops, visits, truncated)."""
+    scope = edges.select("src", "dst", "dst_id", "signal")
+    if scope.limit(2 * MAX_EDGES + 1).count() > 2 * MAX_EDGES:
+        raise ValueError(f"a scope graph has {MAX_EDGES} edges at most")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [r for b in batches for r in b.itertuples(index=False)]
-        if len(rows) > MAX_EDGES:
-            raise ValueError(f"a scope graph has {MAX_EDGES} edges at most")
         rows.sort(key=lambda r: (r.src, r.dst_id))
         active, visits, truncated = walk([(r.src, r.dst, r.signal) for r in rows], seeds, max_tags, max_edges, max_hops)
         yield pd.DataFrame([(t, s, h, visits, truncated) for t, (s, h) in active.items()], columns=["tag", "score", "hops", "visits", "truncated"])
 
-    scope = edges.select("src", "dst", "dst_id", "signal").limit(MAX_EDGES + 1).coalesce(1)
-    return scope.mapInPandas(run, "tag string, score double, hops int, visits long, truncated boolean")
+    return scope.coalesce(1).mapInPandas(run, "tag string, score double, hops int, visits long, truncated boolean")
 
 
 def reachable(edges: DataFrame, seeds: list[str], max_nodes: int, rounds: int) -> DataFrame:
@@ -103,8 +106,8 @@ def reachable(edges: DataFrame, seeds: list[str], max_nodes: int, rounds: int) -
 def diffusion(edges: DataFrame, seeds: dict[str, float], iterations: int = ITERATIONS, nodes: DataFrame | None = None) -> DataFrame:
     """(tag, score) of personalised restart: each round 0.35 of the seeds' share, and 0.65 of each tag's score dealt to its neighbours by signal.
 
-    Edges to tags outside ``nodes`` still count among those that a tag deals to, so mass can leak. A
-    fixed number of rounds: once the change is under the threshold, further ones change less.
+    Edges to tags outside ``nodes`` still count among those that a tag deals to, so mass can leak. Every
+    ``CUT`` rounds the scores are written, and the work ends once they change by less than the threshold.
     """
     spark, total = edges.sparkSession, sum(seeds.values())
     share = _seed_frame(spark, {t: w / total for t, w in seeds.items()} if total else seeds)
@@ -112,11 +115,18 @@ def diffusion(edges: DataFrame, seeds: dict[str, float], iterations: int = ITERA
     part = edges.where(F.col("signal") > 0).join(deals, "src").select("src", "dst", (F.col("signal") / F.col("dealt")).alias("part"))
     if nodes is not None:
         part = part.join(nodes.select(F.col("tag").alias("dst")), "dst", "left_semi").join(nodes.select(F.col("tag").alias("src")), "src", "left_semi")
+    part = settled(part, "parts")
     restart = share.select("tag", (F.col("score") * RESTART).alias("score"))
     scores = share
-    for _ in range(iterations):
+    for n in range(1, iterations + 1):
+        before = scores
         flow = part.join(scores.select(F.col("tag").alias("src"), "score"), "src").select(F.col("dst").alias("tag"), (F.col("score") * F.col("part") * FLOW).alias("score"))
         scores = restart.unionByName(flow).groupBy("tag").agg(F.sum("score").alias("score"))
+        if n % CUT == 0 and n < iterations:
+            scores = settled(scores, "diffusion")
+            both = scores.join(before.withColumnRenamed("score", "was"), "tag", "full")
+            if (both.agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0] or 0.0) <= CONVERGED:
+                break
     return scores.where(F.col("score") > 0)
 
 
@@ -183,17 +193,28 @@ def expand_relations(links: DataFrame, starts: DataFrame, hops: int, max_added:
     return seen.where("hops = 0").unionByName(added)
 
 
+def jumps(parents: DataFrame) -> DataFrame:
+    """The relation itself: (revision_id, up), one step each."""
+    return settled(parents.where(F.col("revision_id").isNotNull() & F.col("parent_id").isNotNull()).select("revision_id", F.col("parent_id").alias("up")).distinct(), "jumps")
+
+
+def doubled(steps: DataFrame) -> DataFrame:
+    """The relation of twice as many steps."""
+    further = steps.select(F.col("revision_id").alias("up"), F.col("up").alias("next"))
+    return settled(steps.join(further, "up").select("revision_id", F.col("next").alias("up")).distinct(), "jumps")
+
+
 def ancestors(parents: DataFrame, revision: str) -> DataFrame:
-    """All revisions that a revision comes from, with their distance; ``parents``: (revision_id, parent_id)."""
-    parents.createOrReplaceTempView("_revision_parents")
-    return parents.sparkSession.sql(
-        """
-        WITH RECURSIVE up(revision_id, depth) AS (
-          SELECT parent_id, 1 FROM _revision_parents WHERE revision_id = :start
-          UNION ALL
-          SELECT p.parent_id, up.depth + 1 FROM up JOIN _revision_parents p ON p.revision_id = up.revision_id WHERE up.depth < 1000
-        )
-        SELECT revision_id, min(depth) AS depth FROM up GROUP BY revision_id
-        """,
-        {"start": revision},
-    )
+    """All revisions that a revision comes from, with their distance; ``parents``: (revision_id, parent_id), of its memory.
+
+    What is known up to distance 2^k, and 2^k steps on from there, gives all up to 2^(k+1): so the
+    rounds grow with the logarithm of the depth, and however many paths lead to a revision it is one row.
+    """
+    spark, step, steps = parents.sparkSession, 1, jumps(parents)
+    known, size = spark.createDataFrame([(revision, 0)], "revision_id string, depth long"), 1
+    while True:
+        further = known.join(steps, "revision_id").select(F.col("up").alias("revision_id"), (F.col("depth") + step).alias("depth"))
+        known = settled(known.unionByName(further).groupBy("revision_id").agg(F.min("depth").alias("depth")), "ancestors")
+        if (now := known.count()) == size:
+            return known.where("depth > 0")
+        size, step, steps = now, 2 * step, doubled(steps)

@@ -8,13 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.model import overlaps
-
-CODES = (
-    "GENERATION_NEGATIVE IDENTITY_GENERATION STATE_GENERATION STATE_INTERVAL STATE_OVERLAP SPACE_IDENTITY SPACE_KEY_DUPLICATE SPACE_STATE_MISSING SPACE_CURRENT_STATE "
-    "SPACE_CREATION_GENERATION MEMORY_IDENTITY MEMORY_STATE_MISSING MEMORY_CURRENT_STATE MEMORY_CREATION_GENERATION DOCUMENT_KEY_DUPLICATE REVISION_GENERATION "
-    "REVISION_MEMORY REVISION_PARENT_MISSING REVISION_PARENT_MEMORY REVISION_CYCLE HEAD_MISSING HEAD_OWNERSHIP HEAD_GENERATION SOURCE_BLOB_MISSING"
-).split()
-
+from stratalens.operators.graph import doubled, jumps
+from stratalens.sources.store import corrupt_blobs, settled
 
 def _found(rows: DataFrame, code: str, subject) -> DataFrame:
     return rows.select(F.lit(code).alias("code"), subject.cast("string").alias("subject")).distinct()
@@ -26,7 +21,7 @@ def check(spaces: DataFrame, space_states: DataFrame, memories: DataFrame, memor
     spaces (space_id, created), space_states (space_id, space_key, lifecycle, valid_from, valid_to),
     memories (memory_id, created), memory_states (memory_id, space_id, document_key, revision_id,
     lifecycle, valid_from, valid_to), revisions (revision_id, memory_id, blob, generation), parents
-    (revision_id, parent_id), blobs (blob). ``fast`` looks at current sources only, and not at cycles.
+    (revision_id, parent_id), blobs (blob, or blob and content, which is then hashed). ``fast`` looks at current sources only, and not at cycles.
     """
     out: list[DataFrame] = []
     add = lambda rows, code, subject: out.append(_found(rows, code, F.col(subject)))
@@ -42,6 +37,8 @@ def check(spaces: DataFrame, space_states: DataFrame, memories: DataFrame, memor
         add(facts.where("open <> 1"), f"{prefix}_CURRENT_STATE", key)
         add(facts.join(identity, key).where(F.col("first") != F.col("created")), f"{prefix}_CREATION_GENERATION", key)
     now = memory_states.where("valid_to is null")
+    add(memory_states.join(spaces, "space_id", "left_anti"), "MEMORY_SPACE", "memory_id")
+    add(memory_states.join(revisions.select("revision_id"), "revision_id", "left_anti").where(F.col("revision_id").isNotNull()), "FOREIGN_KEY", "revision_id")
     add(space_states.where("valid_to is null").groupBy("space_key").count().where("count > 1"), "SPACE_KEY_DUPLICATE", "space_key")
     add(now.where("document_key is not null").groupBy("space_id", "document_key").count().where("count > 1"), "DOCUMENT_KEY_DUPLICATE", "document_key")
     add(revisions.where((F.col("generation") > generation) | (F.col("generation") < 0)), "REVISION_GENERATION", "revision_id")
@@ -56,28 +53,34 @@ def check(spaces: DataFrame, space_states: DataFrame, memories: DataFrame, memor
     add(head.where("generation > valid_from"), "HEAD_GENERATION", "memory_id")
     wanted = now.select("revision_id").distinct().join(revisions, "revision_id") if fast else revisions
     add(wanted.join(blobs, "blob", "left_anti"), "SOURCE_BLOB_MISSING", "revision_id")
+    if "content" in blobs.columns:
+        add(wanted.join(corrupt_blobs(blobs), "blob"), "SOURCE_BLOB_HASH", "revision_id")
     if not fast:
         add(in_cycles(parents), "REVISION_CYCLE", "revision_id")
     return reduce(DataFrame.unionByName, out).distinct()
 
 
 def in_cycles(parents: DataFrame) -> DataFrame:
-    """Revisions that are their own ancestors: the closure, whose paths double in length each round until none is new."""
-    paths = parents.select("revision_id", F.col("parent_id").alias("up")).distinct().checkpoint() if _can_checkpoint(parents) else parents.select("revision_id", F.col("parent_id").alias("up")).distinct()
+    """Revisions that are their own ancestors.
+
+    Walks of 1, 2, 4 … steps: without a cycle none is left after log2 of the longest chain. As many
+    steps as there are revisions only fit in, before or behind a cycle; of these the closure tells.
+    """
+    steps = jumps(parents)
+    first, size, length = steps, steps.select("revision_id").distinct().count(), 1
+    while length <= size and steps.limit(1).count():
+        steps, length = doubled(steps), 2 * length
+    left = steps.select("revision_id").distinct().join(steps.select(F.col("up").alias("revision_id")).distinct(), "revision_id")
+    paths = settled(first.join(left, "revision_id").join(left.withColumnRenamed("revision_id", "up"), "up").select("revision_id", "up"), "cycles")
     known = paths.count()
-    while True:
+    while known:
         longer = paths.alias("a").join(paths.alias("b"), F.col("a.up") == F.col("b.revision_id")).select(F.col("a.revision_id").alias("revision_id"), F.col("b.up").alias("up"))
-        paths = paths.unionByName(longer).distinct()
-        paths = paths.checkpoint() if _can_checkpoint(parents) else paths
+        paths = settled(paths.unionByName(longer).distinct(), "cycles")
         now = paths.count()
         if now == known:
-            return paths.where("revision_id = up").select("revision_id").distinct()
+            break
         known = now
-
-
-def _can_checkpoint(df: DataFrame) -> bool:
-    """Lineage is cut where the session has a shared folder for it."""
-    return bool(df.sparkSession.conf.get("spark.checkpoint.dir", None)) or df.sparkSession.sparkContext.getCheckpointDir() is not None
+    return paths.where("revision_id = up").select("revision_id").distinct()
 
 
 def dangling(rows: DataFrame, column: str, there: DataFrame, key: str) -> DataFrame:

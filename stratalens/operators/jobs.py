@@ -65,3 +65,52 @@ def resolve_receipts(receipts: DataFrame, feedback: DataFrame, now: int) -> Data
     joined = feedback.join(times, "result_id").join(known, "result_id", "left")
     refused = F.when(F.col("expires_at").isNull(), "unknown").when(F.col("expires_at") <= now, "expired").when(F.col("times") > 1, "duplicate")
     return joined.withColumn("refused", refused).drop("times", "expires_at")
+
+
+def claimed(jobs: DataFrame, worker: str, now: int, many: int, denied: DataFrame | None = None) -> DataFrame:
+    """The jobs with the next ``many`` queued ones given to a worker: what waits for nothing, by its time and number. Jobs of spaces that ``denied`` (space_id) names stay."""
+    ready = jobs.where((F.col("state") == "queued") & (F.coalesce("not_before", F.lit(0)) <= now))
+    if denied is not None:
+        ready = ready.join(denied, "space_id", "left_anti")
+    chosen = ready.orderBy(F.coalesce("not_before", F.lit(0)), "job").limit(many).select("job", F.lit(True).alias("_taken"))
+    told = jobs.join(F.broadcast(chosen), "job", "left")  # many rows
+    taken = F.col("_taken").isNotNull()
+    return told.withColumn("state", F.when(taken, "running").otherwise(F.col("state"))).withColumn("worker", F.when(taken, worker)).select(*jobs.columns, "worker")
+
+
+def acquire(leases: DataFrame, manifest: int, holder: str, now: int, seconds: int) -> DataFrame:
+    """The leases with one more, less those that have run out."""
+    return live_leases(leases, now).unionByName(leases.sparkSession.createDataFrame([(manifest, holder, now + seconds)], leases.schema))
+
+
+def renew(leases: DataFrame, holder: str, now: int, seconds: int) -> DataFrame:
+    """A holder's leases that still hold, from now on; one that has run out isn't renewed."""
+    alive = live_leases(leases, now)
+    return alive.withColumn("expires_at", F.when(F.col("holder") == holder, F.lit(now + seconds)).otherwise(F.col("expires_at")))
+
+
+def release(leases: DataFrame, holder: str) -> DataFrame:
+    return leases.where(F.col("holder") != holder)
+
+
+def live_leases(leases: DataFrame, now: int) -> DataFrame:
+    return leases.where(F.col("expires_at") > now)
+
+
+def cached(entries: DataFrame, now: int, most: int) -> DataFrame:
+    """Entries (key, used_at, expires_at) that a cache still has: not run out, and of these the ``most`` used last."""
+    return entries.where(F.col("expires_at") > now).orderBy(F.desc("used_at"), "key").limit(most)
+
+
+def published(results: DataFrame, heads: DataFrame, records: DataFrame) -> DataFrame:
+    """Records with the tags that enrichment has found: only results whose input is still the head's count, those of others are dropped."""
+    fresh = results.join(heads.select("memory_id", "input_hash"), ["memory_id", "input_hash"], "left_semi")
+    found = fresh.groupBy("memory_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("_found"))
+    return records.join(found, "memory_id", "left").withColumn("tags", F.array_union("tags", F.coalesce("_found", F.array().cast("array<string>")))).drop("_found")
+
+
+def publication_target(head: str | None, source: str, rebased: bool) -> str:
+    """Where a result goes: to the head it was made for, to a new head whose meaning is the same, or nowhere."""
+    if head == source:
+        return "publish"
+    return "rebase" if head is not None and rebased else "discard"

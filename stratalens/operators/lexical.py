@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalens.functions.text import tokens
@@ -15,20 +15,72 @@ from stratalens.sources.store import settled
 K1, B = 1.2, 0.75
 
 
+#: Postings are stored by this many buckets of their term's hash.
+BUCKETS = 64
+
+
 @dataclass
 class LexicalIndex:
-    """Postings (space_id, memory_id, term, tf, length) and the corpus' size; written as Parquet by the store."""
+    """A stored full-text index.
+
+    ``postings`` (space_id, memory_id, term, tf, length, segment, bucket) lie by segment and bucket, and
+    within a file by term, so that a query reads only its terms; ``spaces`` (space_id, documents, tokens,
+    segment) has a row for each space. A space is replaced by a later segment; the newest one holds.
+    """
 
     postings: DataFrame
-    documents: int
-    mean_length: float
+    spaces: DataFrame
+
+    def current(self) -> DataFrame:
+        return self.spaces.groupBy("space_id").agg(F.max("segment").alias("segment"), *(F.max_by(c, "segment").alias(c) for c in ("documents", "tokens")))
 
 
 def postings(records: DataFrame) -> DataFrame:
-    """A row for each document and term. The terms of a document are counted where it lies: no shuffle."""
+    """(space_id, memory_id, term, tf, length): exploded once, counted by document and term."""
     words = records.select("space_id", "memory_id", tokens(F.col("text")).alias("words"))
-    distinct = words.withColumn("term", F.explode(F.array_distinct("words")))
-    return distinct.select("space_id", "memory_id", "term", F.size(F.filter("words", lambda w: w == F.col("term"))).cast("long").alias("tf"), F.size("words").cast("long").alias("length"))
+    each = words.select("space_id", "memory_id", F.size("words").cast("long").alias("length"), F.explode("words").alias("term"))
+    return each.groupBy("space_id", "memory_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def write_index(records: DataFrame, path: str, segment: int = 0) -> None:
+    """Write the records' spaces as one segment of the index at ``path``."""
+    bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
+    rows = postings(records).withColumn("bucket", bucket)
+    rows.repartition(F.col("bucket")).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings/segment={segment}")
+    sizes = records.select("space_id", F.size(tokens(F.col("text"))).cast("long").alias("n")).groupBy("space_id").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("tokens"))
+    sizes.write.mode("overwrite").parquet(f"{path}/spaces/segment={segment}")  # last: a segment without it isn't there
+
+
+def update_index(records: DataFrame, path: str) -> int:
+    """Replace the index of the records' spaces by a new segment; its number."""
+    segment = records.sparkSession.read.parquet(f"{path}/spaces").agg(F.max("segment")).first()[0] + 1
+    write_index(records, path, segment)
+    return segment
+
+
+def open_index(spark: SparkSession, path: str) -> LexicalIndex:
+    return LexicalIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/spaces"))
+
+
+def _terms(spark: SparkSession, query: str) -> list[tuple[str, int]]:
+    """The query's terms and their buckets."""
+    words = spark.createDataFrame([(query,)], "q string").select(F.explode(F.array_distinct(tokens(F.col("q")))).alias("w"))
+    return [(r.w, r.b) for r in words.select("w", F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).collect()]
+
+
+def bm25_indexed(index: LexicalIndex, query: str, k1: float = K1, b: float = B) -> DataFrame:
+    """(space_id, memory_id, score) of the documents with any query term, from the postings of these terms alone."""
+    spark = index.postings.sparkSession
+    wanted, current = _terms(spark, query), index.current()
+    total = current.agg(F.sum("documents").cast("double").alias("n"), F.sum("tokens").cast("double").alias("tokens")).first()
+    n, mean = total.n or 0.0, (total.tokens or 0.0) / (total.n or 1.0) or 1.0
+    hits = index.postings.where(F.col("bucket").isin([x for _, x in wanted]) & F.col("term").isin([w for w, _ in wanted]))
+    hits = hits.join(current.select("space_id", "segment"), ["space_id", "segment"])
+    df = hits.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
+    hits = hits.join(F.broadcast(df), "term")  # a row for each term of the query
+    idf = F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    tf = F.col("tf").cast("double")
+    return hits.groupBy("space_id", "memory_id").agg(F.sum(idf * tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * F.col("length") / F.lit(mean)))).alias("score"))
 
 
 def term_counts(records: DataFrame) -> DataFrame:
@@ -42,10 +94,12 @@ def _times(words: str, term: str):
     return F.size(words) - F.size(F.array_remove(words, term))
 
 
-def bm25(records: DataFrame, query: str, k1: float = K1, b: float = B) -> DataFrame:
-    """(space_id, memory_id, score) of the records with any query term. Only the query's terms leave the scan."""
+def bm25(records: DataFrame | LexicalIndex, query: str, k1: float = K1, b: float = B) -> DataFrame:
+    """(space_id, memory_id, score) of the records with any query term, by their index or, without one, by a scan that only the query's terms leave."""
+    if isinstance(records, LexicalIndex):
+        return bm25_indexed(records, query, k1, b)
     spark = records.sparkSession
-    wanted = [r.w for r in spark.createDataFrame([(query,)], "q string").select(F.explode(F.array_distinct(tokens(F.col("q")))).alias("w")).collect()]
+    wanted = [w for w, _ in _terms(spark, query)]
     words = records.select("space_id", "memory_id", tokens(F.col("text")).alias("words"))
     counted = words.select("space_id", "memory_id", F.size("words").cast("double").alias("length"), *(_times("words", t).cast("double").alias(f"tf{i}") for i, t in enumerate(wanted)))
     counted = settled(counted, "term-counts")  # texts are cut into tokens once, for the totals and for the scores
@@ -59,13 +113,13 @@ def bm25(records: DataFrame, query: str, k1: float = K1, b: float = B) -> DataFr
     return counted.where(hit).select("space_id", "memory_id", score.alias("score"))
 
 
-def bm25_top_k(records: DataFrame, query: str, spaces: list[str], k: int) -> DataFrame:
+def bm25_top_k(records: DataFrame | LexicalIndex, query: str, spaces: list[str], k: int) -> DataFrame:
     """The corpus' statistics, the scope's best: score descending, memory ascending."""
     return bm25(records, query).where(F.col("space_id").isin(spaces)).orderBy(F.desc("score"), "memory_id", "space_id").limit(k)
 
 
-def lexical_channel(records: DataFrame, cues: list[str], spaces: list[str], limit: int, max_results: int, **constraints) -> DataFrame:
+def lexical_channel(records: DataFrame, cues: list[str], spaces: list[str], limit: int, max_results: int, index: LexicalIndex | None = None, **constraints) -> DataFrame:
     """BM25 hits of the joined cues that hold a cue as it stands. ``evidence_rank`` counts before that test, ``rank`` after; both from 0."""
-    hits = ranked(bm25_top_k(records, " ".join(cues), spaces, limit), [F.desc("score"), F.col("memory_id"), F.col("space_id")], "evidence_rank")
-    kept = hits.join(records.where(lexical_match(spaces, cues, **constraints)), ["space_id", "memory_id"])
+    hits = ranked(bm25_top_k(index or records, " ".join(cues), spaces, limit), [F.desc("score"), F.col("memory_id"), F.col("space_id")], "evidence_rank")
+    kept = F.broadcast(hits).join(records.where(lexical_match(spaces, cues, **constraints)), ["space_id", "memory_id"])
     return ranked(kept.orderBy("evidence_rank").limit(max_results), [F.col("evidence_rank")], "rank")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.functions.text import without_marked_lines
+from stratalens.operators.providers import Provider, ProviderError, retried
 
 BATCH = {"fast": 16, "balanced": 32, "thorough": 64}
 
@@ -29,6 +30,17 @@ def check(sent: list[str], answer: list[tuple[str, float]]) -> None:
         raise ValueError("a score isn't within 0 to 1")
 
 
+def ask(sent: DataFrame, provider: Provider) -> DataFrame:
+    """(handle, rerank_score) of a batch (at most 64 rows) by a provider of scores, which is tried again, and its answer tested."""
+    rows = sent.select("handle", "text").collect()
+    answer = retried(provider)([r.text for r in rows]) if rows else []
+    if len(answer) != len(rows):
+        raise ProviderError("a score for each text is needed")
+    scores = [(r.handle, float(s)) for r, s in zip(rows, answer)]
+    check([r.handle for r in rows], scores)
+    return sent.sparkSession.createDataFrame(scores, "handle string, rerank_score double")
+
+
 def apply(results: DataFrame, scores: DataFrame) -> DataFrame:
     """Scored results first, by score; then the others as they were. ``scores``: (handle, rerank_score), one batch."""
     joined = results.withColumn("handle", handle()).join(F.broadcast(scores), "handle", "left")

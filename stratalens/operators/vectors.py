@@ -5,11 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.functions.scores import cosine
-from stratalens.operators.ranking import top_per_group
+from stratalens.operators.filters import finite_score
+from stratalens.operators.ranking import ranked, top_per_group
 
 #: Limits of the tag basis: vectors, condition, explained energy, residual length.
 MAX_BASIS, MAX_CONDITION, MIN_ENERGY, MIN_RESIDUAL = 64, 1e6, 1e-6, 1e-4
@@ -48,16 +49,20 @@ def top_k_per_space(vectors: DataFrame, query: list[float], k: int) -> DataFrame
     return top_per_group(scored(vectors, query).select("space_id", "memory_id", "score"), ["space_id"], [F.desc("score"), F.col("memory_id")], k)
 
 
-def semantic_channel(vectors: DataFrame, records: DataFrame, query: list[float], at_match, cap: int, max_results: int, tombstones: DataFrame | None = None) -> DataFrame:
-    """Current targets by their best vector; ``at_match`` is the predicate on records and score. Ranks from 0."""
+def semantic_channel(vectors: DataFrame, records: DataFrame, query: list[float], in_scope: Column, cap: int, max_results: int, tombstones: DataFrame | None = None) -> DataFrame:
+    """Current targets by their best vector. Ranks from 0.
+
+    ``in_scope`` is the predicate on records: only vectors of records that it holds for are searched, so
+    ``cap`` never fills up with others'.
+    """
     if "segment" in vectors.columns:
         vectors = newest_segments(vectors, ["space_id", "memory_id"])
     if tombstones is not None:
         vectors = without_tombstones(vectors, tombstones, ["space_id", "memory_id"])
-    best = scored(vectors, query).orderBy(F.desc("score"), "space_id", "memory_id").limit(cap).select("space_id", "memory_id", "score")
-    hits = records.join(F.broadcast(best), ["space_id", "memory_id"]).where(at_match)  # cap rows
-    from stratalens.operators.ranking import ranked
-
+    current = records.where(in_scope)
+    mine = vectors.join(current.select("space_id", "memory_id").distinct(), ["space_id", "memory_id"], "left_semi")
+    best = scored(mine, query).where(finite_score()).orderBy(F.desc("score"), "space_id", "memory_id").limit(cap).select("space_id", "memory_id", "score")
+    hits = current.join(F.broadcast(best), ["space_id", "memory_id"])  # cap rows
     return ranked(hits.orderBy(F.desc("score"), "memory_id", "space_id").limit(max_results), [F.desc("score"), F.col("memory_id"), F.col("space_id")])
 
 

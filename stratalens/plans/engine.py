@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.functions.scores import SEED_WEIGHTS
 from stratalens.functions.text import normalize_tag
 from stratalens.model import TARGET
 from stratalens.operators import adaptive, fusion, graph, lexical, rerank, tags, vectors
-from stratalens.operators.filters import exact_match, history_match, semantic_match
+from stratalens.operators.filters import exact_match, history_match, semantic_scope
+from stratalens.operators.providers import Provider, ProviderError
 from stratalens.operators.ranking import ranked
 from stratalens.plans.query import Plan, Query, Snapshot, plan
 from stratalens.sources.store import held, settled
@@ -30,6 +30,7 @@ class Store:
     edges: DataFrame | None = None
     links: DataFrame | None = None
     feedback: DataFrame | None = None
+    index: lexical.LexicalIndex | None = None
 
 
 @dataclass
@@ -60,9 +61,9 @@ def _channels(store: Store, query: Query, p: Plan) -> list[DataFrame]:
     if "exact" in p.channels:
         out.append(_pool("exact", exact_channel(records, query, p.generation), n_exact=F.lit(2), n_tags=F.size("tags"), n_relations=F.size("relations")))
     if "lexical" in p.channels:
-        hits = lexical.lexical_channel(records, list(query.text), spaces, p.profile.lexical, query.max_results, **hard)
+        hits = lexical.lexical_channel(records, list(query.text), spaces, p.profile.lexical, query.max_results, store.index, **hard)
         out.append(_pool("lexical", hits, n_lexical=F.lit(1)))
-    match = semantic_match(spaces, p.generation, **hard)
+    match = semantic_scope(spaces, p.generation, **hard)
     basis = None
     tag_vectors: list[tuple[str, str, float]] = []
     if store.vectors is not None and query.query_vector is not None and "semantic" in p.used:
@@ -104,13 +105,15 @@ def _channels(store: Store, query: Query, p: Plan) -> list[DataFrame]:
     return out
 
 
-def run(store: Store, query: Query, now: int = 0, denied: frozenset[str] = frozenset()) -> Answer:
+def run(store: Store, query: Query, now: int = 0, denied: frozenset[str] = frozenset(), reranker: Provider | None = None) -> Answer:
     """Answer a query. ``now`` (seconds) is for the prior's recency only.
 
     By default as served: ``valid_at``, ``lifecycle`` and ``min_relevance`` choose channels or are
-    checked, and filter nothing; with ``strict`` the last one filters.
+    checked, and filter nothing; with ``strict`` the last one filters. ``reranker`` scores texts within
+    0 to 1; without one, or if it fails, reranking degrades where it is preferred and is an error where
+    it is required.
     """
-    p = plan(query, store.snapshot, denied)
+    p = plan(query, store.snapshot, denied | (frozenset() if reranker else frozenset({"reranking"})))
     pools = _channels(store, query, p)
     if not pools:
         pools = [fusion.pool_rows("exact", ranked(store.records.limit(0), [F.col("memory_id")]))]
@@ -118,17 +121,23 @@ def run(store: Store, query: Query, now: int = 0, denied: frozenset[str] = froze
     shown = fusion.presented(fused)
     if query.strict and query.min_relevance is not None:
         shown = shown.where(F.col("relevance") >= query.min_relevance)
-    results = shown.orderBy(F.desc("relevance"), "memory_id", "revision_id", "space_id").limit(query.max_results)
-    results = results.join(store.records.select(*TARGET, "text"), TARGET)
+    wide = max(query.max_results, p.profile.rerank) if p.rerank else query.max_results
+    top = F.broadcast(shown.orderBy(F.desc("relevance"), "memory_id", "revision_id", "space_id").limit(wide))  # wide rows
+    # by space and memory first: a revision's hash is then computed for these rows alone
+    near = store.records.join(top.select("space_id", "memory_id").distinct(), ["space_id", "memory_id"], "left_semi")
+    results = top.join(near.select(*TARGET, "text"), TARGET)
     if p.rerank:
-        results = rerank.apply(results, rerank.hash_scores(rerank.batch(results, query.quality)))
+        results = held(results)
+        try:
+            results = rerank.apply(results, rerank.ask(rerank.batch(results, query.quality), reranker)).limit(query.max_results)
+        except (ProviderError, ValueError):
+            if "reranking" in query.required:
+                raise
+            p = replace(p, rerank=False, degraded=(*p.degraded, "reranking"))
+            results = results.orderBy(F.desc("relevance"), "memory_id", "revision_id").limit(query.max_results)
     elif p.adaptive and store.feedback is not None:
         prior = adaptive.priors(adaptive.familiarity(store.feedback), adaptive.affinity(store.feedback), list(query.spaces), list(query.cue_tags), now)
         results = adaptive.tie_break(results, prior)
     else:
         results = results.orderBy(F.desc("relevance"), "memory_id", "revision_id")
     return Answer(results, fusion.assess(results), p)
-
-
-def explicit_seeds(values: list[str]) -> dict[str, float]:
-    return {v: SEED_WEIGHTS["explicit"] for v in values}

@@ -39,6 +39,17 @@ REC = """WITH rec AS (
   FROM documents d LEFT JOIN labels l USING (doc_id)
 )"""
 VISIBLE = "generation <= {g} AND (valid_until IS NULL OR {g} < valid_until)"
+
+
+def _pin_sql(tenths: int) -> str:
+    return f"(SELECT (max(doc_id) + 1) * {tenths} // 10 FROM documents)"
+
+
+def _pin(spark, sf_dir, tenths: int) -> int:
+    """A generation to read at: so many tenths of the newest one."""
+    return (T.table(spark, sf_dir, "documents").agg(F.max("doc_id")).first()[0] + 1) * tenths // 10
+
+
 HIST = """WITH hist AS (
   SELECT conv_id AS memory_id, turn, role, text, turn + 1 AS valid_from, lead(turn + 1) OVER (PARTITION BY conv_id ORDER BY turn) AS valid_to, conv_id || ':' || turn AS revision_id
   FROM conversations
@@ -95,21 +106,21 @@ def scope_filter(spark, sf_dir):
     return T.serving_records(spark, sf_dir).where(filters.in_scope(["en", "de"])).select("space_id", "memory_id", "generation")
 
 
-@query(REC + f" SELECT space_id, memory_id, revision_id FROM rec WHERE space_id IN ('en', 'fr') AND NOT retired AND NOT purged AND {VISIBLE.format(g=700)} AND entity = 'source:src1'")
+@query(REC + f" SELECT space_id, memory_id, revision_id FROM rec WHERE space_id IN ('en', 'fr') AND NOT retired AND NOT purged AND {VISIBLE.format(g=_pin_sql(7))} AND entity = 'source:src1'")
 def exact_match_all_entities(spark, sf_dir):
-    return T.serving_records(spark, sf_dir).where(filters.exact_match(["en", "fr"], 700, entities=["source:src1"])).select("space_id", "memory_id", "revision_id")
+    return T.serving_records(spark, sf_dir).where(filters.exact_match(["en", "fr"], _pin(spark, sf_dir, 7), entities=["source:src1"])).select("space_id", "memory_id", "revision_id")
 
 
-@query(REC + f" SELECT memory_id FROM rec WHERE space_id = 'en' AND NOT retired AND NOT purged AND {VISIBLE.format(g=900)} AND source = 'src2' AND size_tag = 'size-3'")
+@query(REC + f" SELECT memory_id FROM rec WHERE space_id = 'en' AND NOT retired AND NOT purged AND {VISIBLE.format(g=_pin_sql(9))} AND source = 'src2' AND size_tag = 'size-3'")
 def exact_match_all_tags(spark, sf_dir):
-    return T.serving_records(spark, sf_dir).where(filters.exact_match(["en"], 900, tags=["src2", "size-3"])).select("memory_id")
+    return T.serving_records(spark, sf_dir).where(filters.exact_match(["en"], _pin(spark, sf_dir, 9), tags=["src2", "size-3"])).select("memory_id")
 
 
-@query(REC + f" SELECT space_id, count(*) AS n, max(generation) AS newest FROM rec WHERE {VISIBLE.format(g=600)} GROUP BY space_id")
+@query(REC + f" SELECT space_id, count(*) AS n, max(generation) AS newest FROM rec WHERE {VISIBLE.format(g=_pin_sql(6))} GROUP BY space_id")
 def visible_at_generation(spark, sf_dir):
     from stratalens.model import visible_at
 
-    return T.serving_records(spark, sf_dir).where(visible_at(F.col("generation"), F.col("valid_until"), 600)).groupBy("space_id").agg(F.count(F.lit(1)).alias("n"), F.max("generation").alias("newest"))
+    return T.serving_records(spark, sf_dir).where(visible_at(F.col("generation"), F.col("valid_until"), _pin(spark, sf_dir, 6))).groupBy("space_id").agg(F.count(F.lit(1)).alias("n"), F.max("generation").alias("newest"))
 
 
 @query(REC + " SELECT space_id, count(*) FILTER (WHERE NOT retired AND NOT purged) AS active, count(*) FILTER (WHERE retired) AS retired FROM rec GROUP BY space_id")
@@ -117,10 +128,10 @@ def lifecycle_active(spark, sf_dir):
     return T.serving_records(spark, sf_dir).groupBy("space_id").agg(F.count_if(~F.col("retired") & ~F.col("purged")).alias("active"), F.count_if("retired").alias("retired"))
 
 
-@query(REC + f" SELECT memory_id, revision_id FROM rec WHERE space_id IN ('en', 'de', 'fr', 'es') AND NOT retired AND NOT purged AND {VISIBLE.format(g=500)} AND memory_id IN (3, 5, 8, 13, 21, 34)")
+@query(REC + f" SELECT memory_id, revision_id FROM rec WHERE space_id IN ('en', 'de', 'fr', 'es') AND NOT retired AND NOT purged AND {VISIBLE.format(g=_pin_sql(5))} AND memory_id IN (3, 5, 8, 13, 21, 34)")
 def memory_reference_any(spark, sf_dir):
     refs = [(i, None) for i in (3, 5, 8, 13, 21, 34)]
-    return T.serving_records(spark, sf_dir).where(filters.exact_match(["en", "de", "fr", "es"], 500, refs)).select("memory_id", "revision_id")
+    return T.serving_records(spark, sf_dir).where(filters.exact_match(["en", "de", "fr", "es"], _pin(spark, sf_dir, 5), refs)).select("memory_id", "revision_id")
 
 
 @query(REC + " SELECT memory_id FROM rec WHERE memory_id = 3 AND memory_id = 5")
@@ -134,9 +145,9 @@ def ascii_contains_any(spark, sf_dir):
     return T.serving_records(spark, sf_dir).where(filters.lexical_match(["en", "de"], ["Licensed UNDER", "DIE in "])).select("memory_id")
 
 
-@query(REC + f" SELECT memory_id, generation FROM rec WHERE space_id IN ('en', 'es') AND NOT purged AND generation <= 800 AND contains({_CASE}, 'the ')")
+@query(REC + f" SELECT memory_id, generation FROM rec WHERE space_id IN ('en', 'es') AND NOT purged AND generation <= {_pin_sql(8)} AND contains({_CASE}, 'the ')")
 def history_match(spark, sf_dir):
-    return T.serving_records(spark, sf_dir).where(filters.history_match(["en", "es"], 800, ["THE "])).select("memory_id", "generation")
+    return T.serving_records(spark, sf_dir).where(filters.history_match(["en", "es"], _pin(spark, sf_dir, 8), ["THE "])).select("memory_id", "generation")
 
 
 @query(HIST + " SELECT memory_id, revision_id, role FROM hist WHERE valid_from <= 3 AND (valid_to IS NULL OR 3 < valid_to)")
@@ -189,9 +200,9 @@ def blob_dedup(spark, sf_dir):
     return docs.groupBy(F.sha2("text", 256).alias("blob")).agg(F.count(F.lit(1)).alias("uses"), F.min("doc_id").alias("first_user"))
 
 
-@query("SELECT DISTINCT sha256(text) AS blob FROM documents WHERE doc_id + 1 <= 300")
+@query(f"SELECT DISTINCT sha256(text) AS blob FROM documents WHERE doc_id + 1 <= {_pin_sql(3)}")
 def distinct_blobs_at_generation(spark, sf_dir):
-    return T.serving_records(spark, sf_dir).where("generation <= 300").select(F.col("revision_id").alias("blob")).distinct()
+    return T.serving_records(spark, sf_dir).where(F.col("generation") <= _pin(spark, sf_dir, 3)).select(F.col("revision_id").alias("blob")).distinct()
 
 
 # --- text and hashes -----------------------------------------------------------------------------
@@ -248,9 +259,9 @@ def redacted_diagnostic(spark, sf_dir):
     return T.table(spark, sf_dir, "benchmark").select("item_id", X.redacted("item", F.col("text")).alias("shown"))
 
 
-@query("SELECT page_id, array_to_string(list_filter([url, '', substr(html, 1, 20)], lambda x: x <> ''), chr(10)) AS view FROM pages")
+@query("SELECT page_id, sha256(array_to_string(list_filter([url, '', html], lambda x: x <> ''), chr(10))) AS view FROM pages")
 def rerank_view(spark, sf_dir):
-    return T.table(spark, sf_dir, "pages").select("page_id", X.joined_view(F.col("url"), F.lit(""), F.substring("html", 1, 20)).alias("view"))
+    return T.table(spark, sf_dir, "pages").select("page_id", F.sha2(X.joined_view(F.col("url"), F.lit(""), F.col("html")), 256).alias("view"))
 
 
 _D = "CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y') WHEN 1 THEN strftime(o_orderdate, '%Y-%m') WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '2023-02-30' END"
@@ -286,23 +297,55 @@ bm AS (SELECT space_id, memory_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf
 )
 
 
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def _index(spark, sf_dir) -> lexical.LexicalIndex:
+    """The full-text index of the documents, written by the first query that asks for it."""
+    from stratalens.sources.store import working_path
+
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        path = working_path(spark, "lexical-index")
+        lexical.write_index(T.serving_records(spark, sf_dir), path)
+        _indexes[key] = path
+    return lexical.open_index(spark, _indexes[key])
+
+
 @query(BM25 + " SELECT space_id, memory_id, round(score, 6) AS score FROM bm WHERE space_id IN ('en', 'de') ORDER BY bm.score DESC, memory_id LIMIT 40")
 def bm25_topk(spark, sf_dir):
+    return lexical.bm25_top_k(_index(spark, sf_dir), "The licensed und", ["en", "de"], 40).withColumn("score", F.round("score", 6))
+
+
+@query(BM25 + " SELECT space_id, memory_id, round(score, 6) AS score FROM bm WHERE space_id IN ('en', 'de') ORDER BY bm.score DESC, memory_id LIMIT 40")
+def bm25_scan(spark, sf_dir):
+    """The same without an index."""
     return lexical.bm25_top_k(T.serving_records(spark, sf_dir), "The licensed und", ["en", "de"], 40).withColumn("score", F.round("score", 6))
 
 
+@query("SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM (SELECT doc_id, unnest(" + _TOK + ") AS term FROM documents WHERE lang IN ('en', 'fr')) GROUP BY term")
+def index_update(spark, sf_dir):
+    """An index whose French space has been replaced, with the rest as it was."""
+    from stratalens.sources.store import working_path
+
+    records, path = T.serving_records(spark, sf_dir).where("space_id IN ('en', 'fr')"), working_path(spark, "lexical-update")
+    lexical.write_index(records.withColumn("text", F.when(F.col("space_id") == "fr", F.lit("stale words")).otherwise(F.col("text"))), path)
+    lexical.update_index(records.where("space_id = 'fr'"), path)
+    index = lexical.open_index(spark, path)
+    rows = index.postings.join(index.current().select("space_id", "segment"), ["space_id", "segment"])
+    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+
+
 @query(
-    BM25
+    BM25.replace("['the', 'licensed', 'und']", "['licensed', 'under', 'the', 'und']")
     + """, top AS (SELECT *, row_number() OVER (ORDER BY score DESC, memory_id, space_id) - 1 AS evidence_rank FROM (SELECT * FROM bm WHERE space_id IN ('en', 'de') ORDER BY score DESC, memory_id, space_id LIMIT 60)),
 kept AS (SELECT top.*, row_number() OVER (ORDER BY evidence_rank) - 1 AS rank FROM top JOIN tok USING (space_id, memory_id) WHERE NOT retired AND (contains(lower(text), 'licensed under') OR contains(lower(text), 'the und')))
 SELECT memory_id, evidence_rank, rank FROM kept WHERE rank < 10"""
 )
 def lexical_channel(spark, sf_dir):
     """The words are searched one by one, but only texts with a cue as it stands stay."""
-    records = T.serving_records(spark, sf_dir)
-    hits = ranked(lexical.bm25_top_k(records, "the licensed und", ["en", "de"], 60), [F.desc("score"), F.col("memory_id"), F.col("space_id")], "evidence_rank")
-    kept = hits.join(records.where(filters.lexical_match(["en", "de"], ["licensed under", "the und"])), ["space_id", "memory_id"])
-    return ranked(kept.orderBy("evidence_rank").limit(10), [F.col("evidence_rank")]).select("memory_id", F.col("evidence_rank").cast("long"), F.col("rank").cast("long"))
+    found = lexical.lexical_channel(T.serving_records(spark, sf_dir), ["licensed under", "the und"], ["en", "de"], 60, 10, _index(spark, sf_dir))
+    return found.select("memory_id", F.col("evidence_rank").cast("long"), F.col("rank").cast("long"))
 
 
 # --- vectors -------------------------------------------------------------------------------------
@@ -335,22 +378,42 @@ def l2_norm(spark, sf_dir):
     return T.table(spark, sf_dir, "embeddings").select("vec_id", F.round(S.norm(F.col("embedding")), 6).alias("norm"))
 
 
-@query(VEC + ", live AS (SELECT * FROM sc WHERE memory_id % 17 <> 0 AND isfinite(score) ORDER BY score DESC, space_id, memory_id LIMIT 64), hit AS (SELECT * FROM live WHERE space_id IN ('L0', 'L1', 'L2') ORDER BY score DESC, memory_id, space_id LIMIT 10) SELECT space_id, memory_id, row_number() OVER (ORDER BY score DESC, memory_id, space_id) - 1 AS rank FROM hit")
+@query(VEC + ", live AS (SELECT * FROM sc WHERE memory_id % 17 <> 0 AND memory_id % 5 <> 0 AND memory_id % 2 = 0 AND isfinite(score) AND space_id IN ('L0', 'L1', 'L2') ORDER BY score DESC, space_id, memory_id LIMIT 64) SELECT space_id, memory_id, row_number() OVER (ORDER BY score DESC, memory_id, space_id) - 1 AS rank FROM live ORDER BY score DESC, memory_id, space_id LIMIT 10")
 def semantic_channel(spark, sf_dir):
+    """The best current vectors of the scope that have the tag: others, however near, take no place among them."""
     v = T.vectors(spark, sf_dir)
-    records = v.select("space_id", "memory_id")
-    match = F.col("space_id").isin("L0", "L1", "L2")
-    found = vectors.semantic_channel(v, records, first_vector(spark, sf_dir), match, 64, 10, v.where("memory_id % 17 = 0"))
+    gone, no = F.col("memory_id") % 5 == 0, F.lit(False)
+    records = v.select("space_id", "memory_id", F.lit("r").alias("revision_id"), F.array().cast("array<string>").alias("entity_refs"), F.array(F.when(F.col("memory_id") % 2 == 0, "even").otherwise("odd")).alias("tags"), F.lit(True).alias("current"), gone.alias("retired"), no.alias("purged"), F.lit(1).alias("generation"), F.lit(None).cast("long").alias("valid_until"))
+    found = vectors.semantic_channel(v, records, first_vector(spark, sf_dir), filters.semantic_scope(["L0", "L1", "L2"], 1, tags=["even"]), 64, 10, v.where("memory_id % 17 = 0"))
     return found.select("space_id", "memory_id", F.col("rank").cast("long"))
 
 
-@query()
+def _basis_sql(many: int) -> str:
+    """The span of the first vectors by Gram-Schmidt, step by step, and what it leaves of the query."""
+    less = lambda a, b, e: f"list_transform(list_zip({a}, {e}), lambda p: p[1] - {b} * p[2])"
+    parts = ["r0 AS (SELECT embedding::DOUBLE[] AS r FROM embeddings WHERE vec_id = 0)"]
+    for k in range(1, many + 1):
+        parts.append(f"u{k}_0 AS (SELECT embedding::DOUBLE[] AS u FROM embeddings WHERE vec_id = {k})")
+        for j in range(1, k):
+            parts.append(f"u{k}_{j} AS (SELECT {less('u', 'd', 'e')} AS u FROM (SELECT u, e, list_dot_product(u, e) AS d FROM u{k}_{j - 1}, e{j}))")
+        parts.append(f"e{k} AS (SELECT list_transform(u, lambda x: x / n) AS e FROM (SELECT u, sqrt(list_dot_product(u, u)) AS n FROM u{k}_{k - 1}))")
+        parts.append(f"r{k} AS (SELECT {less('r', 'd', 'e')} AS r FROM (SELECT r, e, list_dot_product(r, e) AS d FROM r{k - 1}, e{k}))")
+    return ", ".join(parts)
+
+
+@query(
+    VEC
+    + ", "
+    + _basis_sql(8)
+    + """, res AS (SELECT space_id, memory_id, list_dot_product(embedding::DOUBLE[], r) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(r, r))) AS score, 1 - list_dot_product(r, r) / list_dot_product(q::DOUBLE[], q::DOUBLE[]) AS e FROM vec, r8, q)
+SELECT space_id, memory_id, round(score, 6) AS score, 8 AS rank_of_basis, round(e, 6) AS explained FROM res ORDER BY res.score DESC, memory_id LIMIT 10"""
+)
 def tag_basis_residual(spark, sf_dir):
     """The query vector's part outside the span of eight tag vectors, and the vectors nearest to it."""
     v = T.vectors(spark, sf_dir)
     some = [r.vector for r in v.where("memory_id between 1 and 8").orderBy("memory_id").collect()]
     b = vectors.tag_basis(first_vector(spark, sf_dir), some)
-    return vectors.top_k(v, b.residual.tolist(), 10).withColumns({"rank_of_basis": F.lit(b.rank), "explained": F.lit(round(b.explained, 6))})
+    return vectors.top_k(v, b.residual.tolist(), 10).withColumn("score", F.round("score", 6)).withColumns({"rank_of_basis": F.lit(b.rank), "explained": F.lit(round(b.explained, 6))})
 
 
 # --- tags and graph ------------------------------------------------------------------------------
@@ -442,9 +505,9 @@ def relation_1hop(spark, sf_dir):
     return graph.expand_relations(T.place_links(spark, sf_dir), starts, 1).select("target", "hops")
 
 
-@query(LINKS + ", s AS (SELECT 'O' || o_orderkey AS target FROM orders WHERE o_orderkey < 50), a AS (SELECT target, 0 AS hops FROM s UNION ALL SELECT l.target, 1 FROM s JOIN links l ON l.source = s.target UNION ALL SELECT m.target, 2 FROM s JOIN links l ON l.source = s.target JOIN links m ON m.source = l.target) SELECT target, min(hops) AS hops FROM a GROUP BY target")
+@query(LINKS + ", s AS (SELECT 'O' || o_orderkey AS target FROM orders WHERE o_orderpriority = '1-URGENT'), a AS (SELECT target, 0 AS hops FROM s UNION ALL SELECT l.target, 1 FROM s JOIN links l ON l.source = s.target UNION ALL SELECT m.target, 2 FROM s JOIN links l ON l.source = s.target JOIN links m ON m.source = l.target) SELECT target, min(hops) AS hops FROM a GROUP BY target")
 def relation_2hop(spark, sf_dir):
-    starts = T.table(spark, sf_dir, "orders").where("o_orderkey < 50").select(F.concat(F.lit("O"), "o_orderkey").alias("target"))
+    starts = T.table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("O"), "o_orderkey").alias("target"))
     return graph.expand_relations(T.place_links(spark, sf_dir), starts, 2).select("target", "hops")
 
 
@@ -453,7 +516,7 @@ def revision_ancestors(spark, sf_dir):
     from pyspark.sql import Window
 
     h = T.turn_history(spark, sf_dir)
-    parents = h.select("revision_id", F.lag("revision_id").over(Window.partitionBy("memory_id").orderBy("turn")).alias("parent_id")).where("parent_id is not null")
+    parents = h.where("memory_id = 5").select("revision_id", F.lag("revision_id").over(Window.partitionBy("memory_id").orderBy("turn")).alias("parent_id")).where("parent_id is not null")
     tip = h.where("memory_id = 5").agg(F.max_by("revision_id", "turn")).first()[0]
     return graph.ancestors(parents, tip or "-").select("revision_id", F.col("depth").cast("long"))
 
@@ -545,7 +608,7 @@ def _engine(spark, sf_dir, **more):
     from stratalens.plans.query import Query, Snapshot
 
     newest = 10**9
-    store = Store(T.serving_records(spark, sf_dir), Snapshot(newest, newest))
+    store = Store(T.serving_records(spark, sf_dir), Snapshot(newest, newest), index=_index(spark, sf_dir))
     return run(store, Query(spaces=("en", "de"), text=("licensed under",), max_results=10, **more))
 
 
@@ -582,13 +645,13 @@ def fused_end_to_end(spark, sf_dir):
 
 # --- reranking and feedback ----------------------------------------------------------------------
 
-RES = """WITH res AS (SELECT 'S' || (p_size % 5) AS space_id, p_partkey AS memory_id, p_brand AS revision_id, p_name || CASE WHEN p_size % 3 = 0 THEN chr(10) || '<b>' ELSE '' END AS text, (p_partkey % 50) / 50.0::DOUBLE AS relevance FROM part WHERE p_partkey < 400),
+RES = """WITH res AS (SELECT 'S' || (p_size % 5) AS space_id, p_partkey AS memory_id, p_brand AS revision_id, p_name || CASE WHEN p_size % 3 = 0 THEN chr(10) || '<b>' ELSE '' END AS text, (p_partkey % 50) / 50.0::DOUBLE AS relevance FROM part),
 sent AS (SELECT space_id || ':' || memory_id || ':' || revision_id AS handle, * FROM res ORDER BY relevance DESC, handle LIMIT 32)"""
 
 
 def _results(spark, sf_dir) -> DataFrame:
     text = F.concat("p_name", F.when(F.col("p_size") % 3 == 0, "\n<b>").otherwise(""))
-    return T.table(spark, sf_dir, "part").where("p_partkey < 400").select(F.concat(F.lit("S"), F.col("p_size") % 5).alias("space_id"), F.col("p_partkey").alias("memory_id"), F.col("p_brand").alias("revision_id"), text.alias("text"), ((F.col("p_partkey") % 50) / 50.0).alias("relevance"))
+    return T.table(spark, sf_dir, "part").select(F.concat(F.lit("S"), F.col("p_size") % 5).alias("space_id"), F.col("p_partkey").alias("memory_id"), F.col("p_brand").alias("revision_id"), text.alias("text"), ((F.col("p_partkey") % 50) / 50.0).alias("relevance"))
 
 
 @query(RES + " SELECT handle, array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '[<>]')), chr(10)) AS text, round(relevance, 6) AS relevance FROM sent")
@@ -598,12 +661,12 @@ def rerank_batch(spark, sf_dir):
     return rerank.batch(_results(spark, sf_dir), "balanced").withColumn("relevance", F.round("relevance", 6))
 
 
-@query(RES + ", sc AS (SELECT handle, ('0x' || substr(sha256(handle), 1, 6))::BIGINT / 16777215.0::DOUBLE AS s FROM sent), a AS (SELECT res.*, s FROM res LEFT JOIN sc ON handle = space_id || ':' || memory_id || ':' || revision_id) SELECT memory_id, round(s, 6) AS rerank_score FROM a ORDER BY s IS NULL, s DESC, relevance DESC, memory_id LIMIT 60")
+@query(RES + ", sc AS (SELECT handle, ('0x' || substr(sha256(handle), 1, 6))::BIGINT / 16777215.0::DOUBLE AS s FROM sent), a AS (SELECT res.*, s FROM res LEFT JOIN sc ON handle = space_id || ':' || memory_id || ':' || revision_id) SELECT memory_id, round(s, 6) AS rerank_score FROM a")
 def rerank_apply(spark, sf_dir):
     from stratalens.operators import rerank
 
     r = _results(spark, sf_dir)
-    return rerank.apply(r, rerank.hash_scores(rerank.batch(r, "balanced"))).limit(60).select("memory_id", F.round("rerank_score", 6).alias("rerank_score"))
+    return rerank.apply(r, rerank.hash_scores(rerank.batch(r, "balanced"))).select("memory_id", F.round("rerank_score", 6).alias("rerank_score"))
 
 
 FAM = FEED + ", fam AS (SELECT space_id, memory_id, count(*) FILTER (WHERE w > 0) AS positive_count, count(*) FILTER (WHERE w < 0) AS negative_count, sum(greatest(w, 0)) AS positive_weight, max(micros) FILTER (WHERE w > 0) AS last_success FROM fb GROUP BY 1, 2)"
@@ -673,15 +736,12 @@ def idempotency_conflicts(spark, sf_dir):
 @query(FAM + " SELECT space_id, memory_id, positive_count, negative_count, CAST(positive_weight AS DOUBLE) AS positive_weight, last_success FROM fam")
 def feedback_stream(spark, sf_dir):
     """The same state from a stream that runs until it has read all there is."""
-    import uuid
-
     from stratalens.sources.store import working_path
     from stratalens.streaming.feedback import run_available
 
     events = T.table(spark, sf_dir, "events")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events*").parquet(sf_dir) if _one_file(spark, sf_dir) else spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet")
-    name = f"familiarity_{uuid.uuid4().hex[:8]}"
-    return run_available(stream, working_path(spark, name), name)
+    return run_available(stream, working_path(spark, "familiarity"))
 
 
 def _one_file(spark, sf_dir) -> bool:
@@ -775,9 +835,18 @@ def integrity_dangling(spark, sf_dir):
     return integrity.dangling(lines, "ref", T.table(spark, sf_dir, "part").where("p_partkey % 11 <> 0"), "p_partkey").select("l_orderkey", "l_linenumber")
 
 
-@query("SELECT code, subject FROM (SELECT 'HEAD_MISSING' AS code, CAST(conv_id AS VARCHAR) AS subject FROM conversations WHERE turn % 4 = 3 UNION SELECT 'STATE_OVERLAP', CAST(conv_id AS VARCHAR) FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) WHERE conv_id % 10 = 1 AND n > 1 UNION SELECT 'SOURCE_BLOB_MISSING', conv_id || ':' || turn FROM conversations WHERE turn % 4 <> 3 AND conv_id % 20 = 2)")
+@query(
+    """WITH r AS (SELECT conv_id, turn, conv_id || ':' || turn AS revision FROM conversations), top AS (SELECT conv_id, max(turn) AS top, count(*) AS n FROM r GROUP BY 1)
+SELECT 'HEAD_MISSING' AS code, CAST(conv_id AS VARCHAR) AS subject FROM r WHERE turn % 4 = 3
+UNION SELECT 'FOREIGN_KEY', revision FROM r WHERE turn % 4 = 3
+UNION SELECT 'STATE_OVERLAP', CAST(conv_id AS VARCHAR) FROM top WHERE conv_id % 10 = 1 AND n > 1
+UNION SELECT 'SOURCE_BLOB_MISSING', revision FROM r WHERE turn % 4 <> 3 AND conv_id % 20 = 2
+UNION SELECT 'REVISION_PARENT_MISSING', revision FROM r WHERE turn > 0 AND (turn - 1) % 4 = 3
+UNION SELECT 'REVISION_PARENT_MISSING', conv_id || ':0' FROM top WHERE conv_id % 30 = 4 AND top % 4 = 3
+UNION SELECT 'REVISION_CYCLE', revision FROM r WHERE conv_id % 30 = 4"""
+)
 def integrity_codes(spark, sf_dir):
-    """Every test at once, on a history with three kinds of faults."""
+    """Every test at once, on a history with faults: missing revisions and blobs, overlaps, rings of parents."""
     from stratalens.operators import integrity
 
     h = T.turn_history(spark, sf_dir)
@@ -787,17 +856,20 @@ def integrity_codes(spark, sf_dir):
     bent = h.withColumn("valid_to", F.when(F.col("memory_id") % 10 == 1, F.col("valid_to") + 1).otherwise(F.col("valid_to")))
     own = bent.select("memory_id", F.lit("A").alias("space_id"), F.lit(None).cast("string").alias("document_key"), "revision_id", F.lit("active").alias("lifecycle"), "valid_from", "valid_to")
     revisions = h.where("turn % 4 <> 3").select("revision_id", "memory_id", F.col("revision_id").alias("blob"), F.col("valid_from").alias("generation"))
-    parents = spark.createDataFrame([], "revision_id string, parent_id string")
+    one = lambda m, t: F.concat_ws(":", m, t)
+    chain = h.where("turn > 0").select("revision_id", one(F.col("memory_id"), F.col("turn") - 1).alias("parent_id"))
+    ring = h.where("memory_id % 30 = 4").groupBy("memory_id").agg(F.max("turn").alias("top")).select(one(F.col("memory_id"), F.lit(0)).alias("revision_id"), one(F.col("memory_id"), F.col("top")).alias("parent_id"))
+    parents = chain.unionByName(ring)
     blobs = revisions.where("memory_id % 20 <> 2").select("blob")
     return integrity.check(spaces, states, memories, own, revisions, parents, blobs, 10**6)
 
 
-@query("SELECT DISTINCT sha256(text) AS blob FROM documents WHERE doc_id < 500 EXCEPT SELECT sha256(text) FROM documents WHERE doc_id >= 300")
+@query("SELECT DISTINCT sha256(text) AS blob FROM documents WHERE lang <> 'es' EXCEPT SELECT sha256(text) FROM documents WHERE source <> 'src1'")
 def gc_unreferenced(spark, sf_dir):
     from stratalens.operators import governance
 
     docs = T.table(spark, sf_dir, "documents").withColumn("blob", F.sha2("text", 256))
-    return governance.unreferenced(docs.where("doc_id < 500").select("blob").distinct(), docs.where("doc_id >= 300"))
+    return governance.unreferenced(docs.where("lang <> 'es'").select("blob").distinct(), docs.where("source <> 'src1'"))
 
 
 # --- documents, builds, metrics ------------------------------------------------------------------
@@ -898,11 +970,11 @@ def generated_tags(spark, sf_dir):
     return tags.generated_tags(rows).select("memory_id", "tag", "score")
 
 
-@query("SELECT least(5000, min(generation) - 1) AS covered FROM (SELECT o_orderkey + 1 AS generation FROM orders WHERE o_orderstatus = 'P' AND o_orderkey > 100)")
+@query("SELECT least(5000, min(generation) - 1) AS covered FROM (SELECT o_orderkey + 1 AS generation FROM orders WHERE o_orderstatus = 'P')")
 def capability_coverage(spark, sf_dir):
     from stratalens.operators import jobs
 
-    pending = T.table(spark, sf_dir, "orders").where("o_orderkey > 100").select((F.col("o_orderkey") + 1).alias("generation"), (F.col("o_orderstatus") == "P").cast("int").alias("pending"))
+    pending = T.table(spark, sf_dir, "orders").select((F.col("o_orderkey") + 1).alias("generation"), (F.col("o_orderstatus") == "P").cast("int").alias("pending"))
     return spark.createDataFrame([(jobs.coverage(pending, 5000),)], "covered long")
 
 
@@ -914,12 +986,12 @@ def job_retries(spark, sf_dir):
     return jobs.after_failure(rows, F.lit(1000).cast("long"))
 
 
-@query("WITH r AS (SELECT p_partkey AS k, CASE WHEN p_size < 25 THEN 50 ELSE 500 END AS e FROM part WHERE p_partkey < 300), f AS (SELECT user_id AS k, count(*) AS times FROM events WHERE event_id < 400 GROUP BY 1) SELECT f.k AS result_id, CASE WHEN r.k IS NULL THEN 'unknown' WHEN e <= 100 THEN 'expired' WHEN times > 1 THEN 'duplicate' ELSE 'ok' END AS refused, times FROM f LEFT JOIN r USING (k)")
+@query("WITH r AS (SELECT p_partkey AS k, CASE WHEN p_size < 25 THEN 50 ELSE 500 END AS e FROM part), f AS (SELECT user_id AS k, count(*) AS times FROM events GROUP BY 1) SELECT f.k AS result_id, CASE WHEN r.k IS NULL THEN 'unknown' WHEN e <= 100 THEN 'expired' WHEN times > 1 THEN 'duplicate' ELSE 'ok' END AS refused, times FROM f LEFT JOIN r USING (k)")
 def receipts_resolve(spark, sf_dir):
     from stratalens.operators import jobs
 
-    r = T.table(spark, sf_dir, "part").where("p_partkey < 300").select(F.col("p_partkey").alias("result_id"), F.lit("A").alias("space_id"), F.col("p_partkey").alias("memory_id"), F.lit("r").alias("revision_id"), F.when(F.col("p_size") < 25, 50).otherwise(500).alias("expires_at"))
-    f = T.table(spark, sf_dir, "events").where("event_id < 400").select(F.col("user_id").alias("result_id"), F.lit("used").alias("outcome"))
+    r = T.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("result_id"), F.lit("A").alias("space_id"), F.col("p_partkey").alias("memory_id"), F.lit("r").alias("revision_id"), F.when(F.col("p_size") < 25, 50).otherwise(500).alias("expires_at"))
+    f = T.table(spark, sf_dir, "events").select(F.col("user_id").alias("result_id"), F.lit("used").alias("outcome"))
     return jobs.resolve_receipts(r, f, 100).groupBy("result_id").agg(F.coalesce(F.min("refused"), F.lit("ok")).alias("refused"), F.count(F.lit(1)).alias("times"))
 
 

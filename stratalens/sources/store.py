@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +20,7 @@ class VersionedStore:
 
     def _manifests(self) -> DataFrame:
         try:
-            return self.spark.read.schema(_MANIFEST).parquet(f"{self.root}/manifest")
+            return self.spark.read.schema(_MANIFEST).parquet(f"{self.root}/manifest/g*")
         except Exception as e:
             if "PATH_NOT_FOUND" in str(e):
                 return self.spark.createDataFrame([], _MANIFEST)
@@ -33,12 +37,28 @@ class VersionedStore:
         rows = {r.name: r for r in self._manifests().where(F.col("generation") == now).collect()} if now else {}
         entries = [(now + 1, r.name, r.path, r.rows, r.digest) for n, r in rows.items() if n not in tables]
         for name, df in tables.items():
-            path = f"{self.root}/tables/{name}/g{now + 1:012d}"
-            df.write.mode("overwrite").parquet(path)
+            path = f"{self.root}/tables/{name}/g{now + 1:012d}-{uuid.uuid4().hex}"  # another writer's is another one
+            df.write.parquet(path)
             entries.append((now + 1, name, path, *self._digest(self.spark.read.parquet(path))))
-        self.spark.createDataFrame(entries, _MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
+        self._commit(entries, now + 1, self.root)
         return now + 1
 
+    def _commit(self, entries: list[tuple], generation: int, root: str) -> None:
+        """Give the manifest its name, which only one writer of a generation can: renaming to a name that exists fails."""
+        attempt, name = f"{root}/attempts/{uuid.uuid4().hex}", f"{root}/manifest/g{generation:012d}"
+        self.spark.createDataFrame(entries, _MANIFEST).coalesce(1).write.parquet(attempt)
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        files, path = jvm.org.apache.hadoop.fs, jvm.org.apache.hadoop.fs.Path
+        path(name).getFileSystem(conf).mkdirs(path(f"{root}/manifest"))
+        none = self.spark.sparkContext._gateway.new_array(files.Options.Rename, 0)
+        try:
+            files.FileContext.getFileContext(path(name).getFileSystem(conf).getUri(), conf).rename(path(attempt), path(name), none)
+        except Exception as e:
+            path(attempt).getFileSystem(conf).delete(path(attempt), True)
+            if "FileAlreadyExists" in str(e):
+                raise ValueError(f"another writer has published generation {generation}") from e
+            raise
+
     @staticmethod
     def _digest(df: DataFrame) -> tuple[int, int]:
         r = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64(F.to_json(F.struct(*df.columns)))), F.lit(0)).alias("d")).first()
@@ -72,7 +92,20 @@ class VersionedStore:
             path = f"{to.rstrip('/')}/tables/{r.name}/g{at:012d}"
             self.spark.read.parquet(r.path).write.mode("overwrite").parquet(path)
             entries.append((at, r.name, path, r.rows, r.digest))
-        self.spark.createDataFrame(entries, _MANIFEST).coalesce(1).write.parquet(f"{to.rstrip('/')}/manifest")
+        self._commit(entries, at, to.rstrip("/"))
+
+    @staticmethod
+    def restore(spark: SparkSession, backup: str, to: str) -> VersionedStore:
+        """A store made of a backup, once it is found whole."""
+        whole = VersionedStore(spark, backup)
+        if wrong := whole.verify():
+            raise ValueError(f"the backup of {', '.join(sorted(wrong))} isn't what its manifest says")
+        whole.backup(to)
+        return VersionedStore(spark, to)
+
+    def inspect(self) -> DataFrame:
+        """(name, path, rows, digest) of the newest generation."""
+        return self._manifests().where(F.col("generation") == self.newest()).drop("generation")
 
     def export_json(self, name: str, to: str, spaces: list[str]) -> None:
         self.read(name).where(F.col("space_id").isin(spaces)).write.mode("overwrite").json(to)
@@ -89,13 +122,33 @@ def corrupt_blobs(blobs: DataFrame) -> DataFrame:
     return blobs.where(F.sha2("content", 256) != F.col("blob")).select("blob")
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
 def working_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that the session names for checkpoints, or, where it names none, in a temporary one."""
-    import tempfile
-    import uuid
+    """A new path in the folder that the session names for checkpoints; only where driver and executors are one process may it name none."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="stratalens-")
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def release() -> None:
+    """Delete all working tables written so far; results that still read them become unusable."""
+    while _made:
+        spark, path = _made.pop()
+        try:
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        except Exception:  # the session may be gone already; the folder is then the cluster's to clear
+            pass
+
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="stratalens-")
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+atexit.register(release)
 
 
 def settled(df: DataFrame, label: str) -> DataFrame:

@@ -18,37 +18,47 @@ def familiarity_stream(events: DataFrame) -> DataFrame:
     return familiarity(feedback_of(events).dropDuplicates(["event_id"]))
 
 
-def run_available(events: DataFrame, checkpoint: str, name: str = "familiarity") -> DataFrame:
-    """Process what there is, then stop; the table's last state. A restart with the same checkpoint goes on where it ended."""
-    query = familiarity_stream(events).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return events.sparkSession.table(name)
-
-
-def append_to_log(events: DataFrame, log_path: str, state_path: str, checkpoint: str) -> None:
-    """Append new feedback to a Parquet log and write the state after each batch to ``state_path``/batch=N.
-
-    A batch that runs again finds its events in the log and adds nothing; its state is the one before
-    and the batch's, or the whole log's where that one is lost.
+def _read_or_empty(spark, path: str, schema) -> DataFrame:
+    try:
+        found = spark.read.schema(schema).parquet(path)
+        found.limit(1).count()
+        return found
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def append_to_log(events: DataFrame, log_path: str, state_path: str, checkpoint: str) -> int | None:
+    """Append new feedback to a Parquet log (``log_path``/batch=N) and merge it into the state (``state_path``/batch=N); the last batch's number.
+
+    A batch's events are those that no batch before it has; the state after it is the one before it and
+    the batch's own, merged. So a batch that runs again overwrites both with the same, and only a row for
+    each memory is read and written besides the batch and the log's keys.
     """
     spark = events.sparkSession
+    done: list[int] = []
 
     def each(batch: DataFrame, number: int) -> None:
         rows = feedback_of(batch)
-        try:
-            log = spark.read.schema(rows.schema).parquet(log_path)
-            log.limit(1).count()
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            log = spark.createDataFrame([], rows.schema)
-        fresh = new_events(log, rows)
-        fresh.write.mode("append").parquet(log_path)
-        after = familiarity(spark.read.schema(rows.schema).parquet(log_path).dropDuplicates(["event_id"]))
-        after.write.mode("overwrite").parquet(f"{state_path}/batch={number}")
+        log = _read_or_empty(spark, log_path, rows.schema.add("batch", "long")).where(F.col("batch") < number)
+        new_events(log, rows).write.mode("overwrite").parquet(f"{log_path}/batch={number}")
+        own = familiarity(spark.read.schema(rows.schema).parquet(f"{log_path}/batch={number}"))
+        before = _read_or_empty(spark, f"{state_path}/batch={number - 1}", own.schema) if number else spark.createDataFrame([], own.schema)
+        merge_states(before, own).write.mode("overwrite").parquet(f"{state_path}/batch={number}")
+        done.append(number)
 
     query = events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+    return max(done, default=None)
+
+
+def run_available(events: DataFrame, folder: str) -> DataFrame:
+    """Process what there is, then stop; the last state. A restart with the same folder goes on where it ended."""
+    append_to_log(events, f"{folder}/log", f"{folder}/state", f"{folder}/checkpoint")
+    states = events.sparkSession.read.parquet(f"{folder}/state")
+    newest = states.agg(F.max("batch")).first()[0]
+    return states.where(F.col("batch") == newest).drop("batch")
 
 
 def resume(checkpoint_state: DataFrame, tail: DataFrame) -> DataFrame:

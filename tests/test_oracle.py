@@ -8,6 +8,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+import stratalens.queries_records  # noqa: F401 - registers its queries
 from stratalens.queries import ORACLE_SQL, QUERIES
 
 from .conftest import SF
