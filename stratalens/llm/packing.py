@@ -164,7 +164,7 @@ _PIECE = "part int, doc_id long, piece int, start long, length long, ids_crc32 l
 
 def _pieces(path: str, max_len: int, end_id: int, with_ids: bool):
     fields = [("part", pa.int32()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("nth", pa.int64())]
-    schema = pa.schema(fields + [("ids", pa.list_(pa.int64()))] * with_ids)
+    schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_many, end, part = encoder(path).encode_many, np.array([end_id], np.uint32).tobytes(), TaskContext.get().partitionId()
@@ -177,7 +177,7 @@ def _pieces(path: str, max_len: int, end_id: int, with_ids: bool):
                 for piece, (start, length) in enumerate(cut(len(ids) // 4, max_len)):
                     own = ids[4 * start : 4 * (start + length)]
                     row = (part, doc, piece, start, length, zlib.crc32(own), met[length])
-                    rows.append((*row, np.frombuffer(own, np.uint32).astype(np.int64)) if with_ids else row)
+                    rows.append((*row, np.frombuffer(own, np.uint32).astype(np.int32)) if with_ids else row)
                     met[length] += 1
                 if len(rows) > 5_000:
                     yield give()
@@ -216,7 +216,7 @@ def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     """
     spark = df.sparkSession
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    extra = ", ids array<long>" * with_ids
+    extra = ", ids array<int>" * with_ids
     pieces = materialise(rows.mapInArrow(_pieces(tokenizer_path, max_len, end_id, with_ids), _PIECE + extra), "pieces")
     counts = materialise(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "lengths")
     stock = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # max_len rows at most
