@@ -6,7 +6,6 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from stratalens.llm.line_dedup import line_keys
 from stratalens.llm.packing import cut
-from stratalens.llm.simhash_dedup import fingerprint
 
 
 def fixture(tmp_path, spark):
@@ -40,22 +39,26 @@ def test_against_a_plain_version(spark, tmp_path):
         for k in set(line_keys(t)):
             seen.setdefault(k, set()).add(i)
     docs = [(i, "\n".join(line for line, k in zip(t.split("\n"), line_keys(t)) if not k or len(seen[k]) < 10)) for i, t in docs]
-    fps, kept = {}, []
-    for i, t in sorted(docs):
-        f = fingerprint(t, 5)
-        fps[i] = f
-    comp = {i: i for i, _ in docs}
+    def shingles(t):
+        parts = t.lower().split()
+        return {tuple(parts[n : n + min(5, len(parts))]) for n in range(max(1, len(parts) - 4))} if parts else set()
+
+    sets, comp = {i: shingles(t) for i, t in docs}, {i: i for i, _ in docs}
     ids = sorted(comp)
     for n, i in enumerate(ids):
         for j in ids[:n]:
-            if (fps[i] ^ fps[j]).bit_count() <= 4 and comp[i] != comp[j]:
+            if comp[i] != comp[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
                 low, high = sorted((comp[i], comp[j]))
                 comp = {k: low if v == high else v for k, v in comp.items()}
     kept = [(i, t) for i, t in docs if comp[i] == i]
+    assert len(kept) < len(docs)
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    want = sorted((i, n, s, length) for i, t in kept for n, (s, length) in enumerate(cut(len(tok.encode(t, add_special_tokens=False).ids) + 1, 2048)))
+    want = []
+    for i, t in kept:
+        own = [*tok.encode(t, add_special_tokens=False).ids, 0]
+        want += [(i, n, at, own[at : at + length]) for n, (at, length) in enumerate(cut(len(own), 2048))]
     got = corpus_pipeline.run(spark, str(tmp_path))
-    assert sorted((g.doc_id, g.piece, g.start, g.length) for g in got.collect()) == want
+    assert sorted((g.doc_id, g.piece, g.start, list(g.ids)) for g in got.collect()) == sorted(want)
 
 
 def test_stages_keep_the_columns(spark, tmp_path):
