@@ -114,7 +114,7 @@ def create(history: DataFrame, row: dict, generation: int) -> DataFrame:
     return history.unionByName(spark.createDataFrame([tuple(full[c] for c in history.columns)], history.schema))
 
 
-def merge_parents(parents: list[str], edges: DataFrame, memory_of: dict[str, int]) -> list[str]:
+def merge_parents(parents: list[str], edges: DataFrame | None, memory_of: dict[str, int]) -> list[str]:
     """The sorted parents of a merge: at least two different ones, of one memory."""
     distinct = sorted(set(parents))
     if len(distinct) < 2 or len(distinct) != len(parents):
@@ -124,6 +124,22 @@ def merge_parents(parents: list[str], edges: DataFrame, memory_of: dict[str, int
     return distinct
 
 
+def merge(history: DataFrame, parents: DataFrame, revisions: DataFrame, memory: int, merged: list[str], revision: str, generation: int) -> tuple[DataFrame, DataFrame]:
+    """(states, parent edges) with a merge revision as the memory's new head.
+
+    ``merged`` are its parents: at least two different ones, of that memory, the present head among them.
+    """
+    of = {r.revision_id: r.memory_id for r in revisions.where(F.col("revision_id").isin(merged)).select("revision_id", "memory_id").collect()}  # one each
+    sound = merge_parents(merged, parents, of)
+    if of[sound[0]] != memory:
+        raise Conflict("the parents are of another memory")
+    head = history.where((F.col("memory_id") == memory) & F.col("valid_to").isNull()).select("revision_id").first()
+    if head is None or head.revision_id not in sound:
+        raise Conflict("the head isn't among the parents")
+    edges = history.sparkSession.createDataFrame([(revision, p) for p in sound], "revision_id string, parent_id string")
+    return revise(history, memory, head.revision_id, revision, generation), parents.unionByName(edges)
+
+
 def _one(history: DataFrame, memory: int, **values) -> DataFrame:
     schema = "memory_id long, " + ", ".join(f"{k} string" for k in values)
     return history.sparkSession.createDataFrame([(memory, *values.values())], schema)

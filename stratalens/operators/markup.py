@@ -249,6 +249,44 @@ def rewrite_references(source: str, ids: dict[str, str]) -> tuple[str, list[str]
     return apply_edits(source, edits), unknown
 
 
+def referenced(source: str) -> list[str]:
+    """The targets of the parsed MemoryRef elements, each once."""
+    names = (next((e.get(n) for n in ("ref", "memory", "target") if e.get(n) is not None), None) for e in elements(source) if e.kind == "MemoryRef")
+    return sorted({n for n in names if n is not None})
+
+
+def rewrite_all(df: DataFrame, ids: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """``df`` with the references of its documents rewritten, and ``unknown``, the targets that ``ids`` (old, new) doesn't have.
+
+    The targets of each document are joined with the table of ids, so that none but a document's own
+    entries reach it. Null texts stay; documents that can't be read stay as they are, with null.
+    """
+
+    @F.pandas_udf("array<string>")
+    def targets(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield texts.map(lambda t: _or_none(referenced, t) or [])
+
+    @F.pandas_udf("text string, unknown array<string>")
+    def written(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, pairs in parts:
+            found = [_or_none(rewrite_references, t, {p["old"]: p["new"] for p in own}) if t is not None else None for t, own in zip(texts, pairs)]
+            yield pd.DataFrame([(t, None) if f is None else f for t, f in zip(texts, found)], columns=["text", "unknown"])
+
+    wanted = df.select(key, F.explode(targets(F.col(text_col))).alias("old")).join(ids.select("old", "new"), "old")
+    own = wanted.groupBy(key).agg(F.collect_list(F.struct("old", "new")).alias("_ids"))  # a document's own
+    joined = df.join(own, key, "left").withColumn("_ids", F.coalesce("_ids", F.array().cast("array<struct<old:string,new:string>>")))
+    out = joined.withColumn("_out", written(F.col(text_col), F.col("_ids")))
+    return out.select(*(F.col("_out.text").alias(c) if c == text_col else F.col(c) for c in df.columns), F.col("_out.unknown").alias("unknown"))
+
+
+def _or_none(read, source: str | None, *more):
+    try:
+        return None if source is None else read(source, *more)
+    except MarkupError:
+        return None
+
+
 def apply_edits(source: str, edits: list[tuple[int, int, str]]) -> str:
     """Edits of the original's spans, from right to left; they mustn't overlap."""
     edits = sorted(edits)

@@ -260,6 +260,52 @@ def package_duplicates(spark, sf_dir):
     return governance.duplicate_ids(r.unionByName(r.where("space_id = 'fr'")))
 
 
+@query(REC + " SELECT space_id, memory_id, revision_id, sha256(text) AS content, retired FROM rec WHERE space_id IN ('de', 'fr')")
+def package_roundtrip(spark, sf_dir):
+    """The records of two spaces, written as a package and read again."""
+    from stratalens.sources import package
+
+    path = store.working_path(spark, "package")
+    package.write_package(T.serving_records(spark, sf_dir), path, ["de", "fr"])
+    return package.read_package(spark, path).select("space_id", "memory_id", "revision_id", F.sha2("text", 256).alias("content"), "retired")
+
+
+@query("""SELECT p_partkey AS memory_id, '<MemoryRef ref="' || CASE WHEN p_size % 4 = 0 THEN 'x' || (p_partkey + 1) ELSE 'n' || (p_partkey + 1) END || '" /> `<MemoryRef ref="x1" />`' AS text, CASE WHEN p_size % 4 = 0 THEN 'x' || (p_partkey + 1) ELSE '' END AS unknown FROM part""")
+def reference_rewrite(spark, sf_dir):
+    """References of documents under new ids, in parsed elements alone; those without one are told."""
+    from stratalens.operators import markup
+
+    k = F.col("p_partkey")
+    docs = T.table(spark, sf_dir, "part").select(k.alias("memory_id"), F.concat(F.lit('<MemoryRef ref="'), F.when(F.col("p_size") % 4 == 0, "x").otherwise("o"), (k + 1).cast("string"), F.lit('" /> `<MemoryRef ref="x1" />`')).alias("text"))
+    ids = spark.range(0, 10).limit(0).selectExpr("'' AS old", "'' AS new").unionByName(T.table(spark, sf_dir, "part").select(F.concat(F.lit("o"), (k + 1).cast("string")).alias("old"), F.concat(F.lit("n"), (k + 1).cast("string")).alias("new")))
+    return markup.rewrite_all(docs, ids, "memory_id").withColumn("unknown", F.array_join("unknown", ","))
+
+
+@query(HIST + """, st AS (SELECT memory_id, 'S' || (memory_id % 3) AS space_id, 'k' || memory_id AS document_key, revision_id, 'active' AS lifecycle, valid_from, valid_to FROM hist), head AS (SELECT * FROM st WHERE valid_to IS NULL)
+SELECT memory_id, space_id, lifecycle, revision_id, valid_from, CASE WHEN valid_to IS NULL AND memory_id IN (1, 2, 3) THEN 90 ELSE valid_to END AS valid_to FROM st
+UNION ALL SELECT memory_id, 'S9', lifecycle, revision_id, 90, NULL FROM head WHERE memory_id = 1
+UNION ALL SELECT memory_id, space_id, 'retired', revision_id, 90, NULL FROM head WHERE memory_id = 2
+UNION ALL SELECT memory_id, space_id, lifecycle, 'merged', 90, NULL FROM head WHERE memory_id = 3""")
+def history_changes(spark, sf_dir):
+    """A move, a retirement and a merge of two revisions, in one generation."""
+    h = T.turn_history(spark, sf_dir)
+    states = h.select("memory_id", F.concat(F.lit("S"), F.col("memory_id") % 3).alias("space_id"), F.concat(F.lit("k"), "memory_id").alias("document_key"), "revision_id", F.lit("active").alias("lifecycle"), F.col("valid_from").cast("long").alias("valid_from"), F.col("valid_to").cast("long").alias("valid_to"))
+    own = [r.revision_id for r in h.where("memory_id = 3").orderBy(F.desc("turn")).limit(2).collect()]
+    changed = history.apply_batch(states, [("move", 1, "S9"), ("retire", 2)], 90)
+    if len(own) == 2:
+        none = spark.createDataFrame([], "revision_id string, parent_id string")
+        changed, _ = history.merge(changed, none, h, 3, own, "merged", 90)
+    return changed.select("memory_id", "space_id", "lifecycle", "revision_id", "valid_from", "valid_to")
+
+
+@query("SELECT 'many' AS name, TRUE AS due UNION ALL SELECT 'few', FALSE UNION ALL SELECT 'dead', TRUE")
+def segment_compaction(spark, sf_dir):
+    """Whether segments are to be compacted: too many of them, or too many dead rows."""
+    rows = T.table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 12).alias("segment"))
+    few, n = rows.where("segment < 3"), rows.count()
+    return spark.createDataFrame([("many", vectors.needs_compaction(rows, 0)), ("few", vectors.needs_compaction(few, 0)), ("dead", vectors.needs_compaction(few, n))], "name string, due boolean")
+
+
 # --- codecs and gates ----------------------------------------------------------------------------
 
 

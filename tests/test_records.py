@@ -114,3 +114,26 @@ def test_policies_tools_and_jobs(spark):
     assert jobs.reopened(rows).where("state = 'queued'").count() == 2
     found = governance.discover_entities(spark.createDataFrame([("a", "Ann", "person:1"), ("b", "Ann", "person:2")], "space_id string, surface string, entity_ref string"), "Ann", ["a"])
     assert [r[0] for r in found.collect()] == ["person:1"]
+
+
+def test_merges_need_the_head_among_their_parents(spark, states):
+    revisions = spark.createDataFrame([("r0", 1), ("r1", 1), ("r2", 2)], "revision_id string, memory_id long")
+    none = spark.createDataFrame([], "revision_id string, parent_id string")
+    h, edges = history.merge(states, none, revisions, 1, ["r1", "r0"], "r9", 7)
+    assert as_of(h, 7).where("memory_id = 1").first().revision_id == "r9" and as_of(h, 6).where("memory_id = 1").first().revision_id == "r1"
+    assert sorted(map(tuple, edges.collect())) == [("r9", "r0"), ("r9", "r1")]
+    for memory, merged in ((2, ["r1", "r0"]), (1, ["r0", "r2"]), (1, ["r0", "r0"])):
+        with pytest.raises(history.Conflict):
+            history.merge(states, none, revisions, memory, merged, "r9", 7)
+
+
+def test_packages_are_found_whole_or_refused(spark, tmp_path):
+    from stratalens.sources import package
+    from stratalens.sources.tables import serving_records
+
+    path, records = f"file://{tmp_path}/p", serving_records(spark, SF)
+    package.write_package(records, path, ["de"])
+    assert package.read_package(spark, path).count() == records.where("space_id = 'de'").count()
+    records.where("space_id = 'fr'").limit(1).write.mode("append").json(f"{path}/records")
+    with pytest.raises(package.PackageError):
+        package.read_package(spark, path)
