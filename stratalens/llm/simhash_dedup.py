@@ -327,7 +327,7 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
         return drop_similar_texts(df, id_col, text_col, words)
     found = near_duplicates(df, id_col, text_col, words, max_bits)
     gone = free_name(df, "gone_id")
-    losers = found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    losers = materialise(found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct(), "losers")
     return df.join(losers, F.col(f"`{id_col}`").cast("long") == F.col(gone), "left_anti")
 
 
