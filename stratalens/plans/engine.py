@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,13 +58,20 @@ def _pool(channel: str, hits: DataFrame, **evidence) -> DataFrame:
 
 
 def _channels(store: Store, query: Query, p: Plan) -> list[DataFrame]:
-    spaces, records, out = list(query.spaces), store.records, []
+    """The pools of the plan's channels. Those that don't need one another run at the same time."""
+    with ThreadPoolExecutor(max_workers=4) as threads:
+        return _run_channels(store, query, p, threads)
+
+
+def _run_channels(store: Store, query: Query, p: Plan, threads: ThreadPoolExecutor) -> list[DataFrame]:
+    spaces, records = list(query.spaces), store.records
+    running: list[Future] = []
+    begin = lambda make: running.append(threads.submit(inheritable_thread_target(records.sparkSession)(make)))
     hard = {"memories": list(query.memories), "entities": list(query.entities), "tags": list(query.tags)}
     if "exact" in p.channels:
-        out.append(_pool("exact", exact_channel(records, query, p.generation), n_exact=F.lit(2), n_tags=F.size("tags"), n_relations=F.size("relations")))
+        begin(lambda: _pool("exact", exact_channel(records, query, p.generation), n_exact=F.lit(2), n_tags=F.size("tags"), n_relations=F.size("relations")))
     if "lexical" in p.channels:
-        hits = lexical.lexical_channel(records, list(query.text), spaces, p.profile.lexical, query.max_results, store.index, **hard)
-        out.append(_pool("lexical", hits, n_lexical=F.lit(1)))
+        begin(lambda: _pool("lexical", lexical.lexical_channel(records, list(query.text), spaces, p.profile.lexical, query.max_results, store.index, **hard), n_lexical=F.lit(1)))
     match = semantic_scope(spaces, p.generation, **hard)
     basis = None
     tag_vectors: list[tuple[str, str, float]] = []
@@ -70,7 +79,7 @@ def _channels(store: Store, query: Query, p: Plan) -> list[DataFrame]:
         search = lambda q, cap: vectors.semantic_channel(store.vectors, records, list(q), match, min(cap, query.max_candidates), query.max_results, store.tombstones)
         one = F.array(F.lit("document"))
         if "semantic-direct" in p.channels:
-            out.append(_pool("semantic-direct", search(query.query_vector, p.profile.semantic), n_semantic=F.lit(1), resolutions=one))
+            begin(lambda: _pool("semantic-direct", search(query.query_vector, p.profile.semantic), n_semantic=F.lit(1), resolutions=one))
         if store.memberships is not None:
             own = store.memberships.join(store.vectors.select("space_id", "memory_id", "vector"), ["space_id", "memory_id"]).where(F.col("space_id").isin(spaces))
             rank = F.when(F.col("provenance") == "explicit", 0.95).otherwise(0.55)
@@ -79,7 +88,7 @@ def _channels(store: Store, query: Query, p: Plan) -> list[DataFrame]:
             basis = vectors.tag_basis(list(query.query_vector), [r.b.vector for r in chosen])
             tag_vectors = [(r.tag, "exact-support" if r.b.provenance == "explicit" else "generated", -r.b[0]) for r in chosen]
         if "semantic-residual" in p.channels and basis is not None and basis.searchable:
-            out.append(_pool("semantic-residual", search(basis.residual.tolist(), p.profile.residual), n_semantic=F.lit(1), resolutions=one))
+            begin(lambda: _pool("semantic-residual", search(basis.residual.tolist(), p.profile.residual), n_semantic=F.lit(1), resolutions=one))
     if "tag-readout" in p.channels and store.memberships is not None and store.edges is not None:
         spark = records.sparkSession
         explicit = [r.t for r in spark.createDataFrame([(t,) for t in query.cue_tags], "t string").select(normalize_tag(F.col("t")).alias("t")).distinct().collect() if r.t]
@@ -87,15 +96,17 @@ def _channels(store: Store, query: Query, p: Plan) -> list[DataFrame]:
         if weights:
             current = records.where(exact_match(spaces, p.generation, [], **hard)).select(*TARGET)
             named = lambda hits: ranked(hits.join(current, ["space_id", "memory_id"]).limit(p.profile.readout), [F.desc("score"), F.col("space_id"), F.col("memory_id"), F.col("tag")])
-            out.append(_pool("tag-readout", named(tags.readout(store.memberships, sorted(weights), spaces, p.profile.readout)), n_tags=F.lit(1)))
+            begin(lambda: _pool("tag-readout", named(tags.readout(store.memberships, sorted(weights), spaces, p.profile.readout)), n_tags=F.lit(1)))
             view = settled(tags.both_ways(tags.composite(store.edges, spaces)), "edges")
-            active = held(graph.bounded_activation(view, sorted(weights.items()), p.profile.tags, p.profile.edges, p.profile.hops))
-            spread = graph.propagation_readout(store.memberships, active, spaces, p.profile.readout)
-            out.append(_pool("activation", named(spread), n_propagation=F.lit(1), strongest=F.col("score")))
+
+            def spread(channel: str, scores: DataFrame) -> DataFrame:
+                return _pool(channel, named(graph.propagation_readout(store.memberships, held(scores), spaces, p.profile.readout)), n_propagation=F.lit(1), strongest=F.col("score"))
+
+            begin(lambda: spread("activation", graph.bounded_activation(view, sorted(weights.items()), p.profile.tags, p.profile.edges, p.profile.hops)))
             if "diffusion" in p.channels:
-                nodes = held(graph.reachable(view, sorted(weights), p.profile.diffusion_nodes, p.profile.hops))
-                spread = graph.propagation_readout(store.memberships, held(graph.diffusion(view, weights, nodes=nodes)), spaces, p.profile.readout)
-                out.append(_pool("diffusion", named(spread), n_propagation=F.lit(1), strongest=F.col("score")))
+                nodes = lambda: held(graph.reachable(view, sorted(weights), p.profile.diffusion_nodes, p.profile.hops))
+                begin(lambda: spread("diffusion", graph.diffusion(view, weights, nodes=nodes())))
+    out = [f.result() for f in running]
     if "relation" in p.channels and store.links is not None and out:
         starts = reduce(DataFrame.unionByName, (x.select(F.col("memory_id").alias("target")) for x in out)).distinct()
         found = graph.expand_relations(store.links, starts, p.profile.relation_hops, p.profile.relation_added).where(F.size("kinds") > 0)
