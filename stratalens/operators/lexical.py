@@ -69,7 +69,11 @@ def _terms(spark: SparkSession, query: str) -> list[tuple[str, int]]:
 
 
 def bm25_indexed(index: LexicalIndex, query: str, k1: float = K1, b: float = B) -> DataFrame:
-    """(space_id, memory_id, score) of the documents with any query term, from the postings of these terms alone."""
+    """(space_id, memory_id, score) of the documents with any query term, from the postings of these terms alone.
+
+    A score is added up in the order of the query's terms, however the postings lie: texts alike in all
+    that counts get the same score to the last bit, so that their order is that of their ids.
+    """
     spark = index.postings.sparkSession
     wanted, current = _terms(spark, query), index.current()
     total = current.agg(F.sum("documents").cast("double").alias("n"), F.sum("tokens").cast("double").alias("tokens")).first()
@@ -78,9 +82,11 @@ def bm25_indexed(index: LexicalIndex, query: str, k1: float = K1, b: float = B)
     hits = hits.join(current.select("space_id", "segment"), ["space_id", "segment"])
     df = hits.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
     hits = hits.join(F.broadcast(df), "term")  # a row for each term of the query
-    idf = F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = F.log(F.lit(1.0) + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf").cast("double")
-    return hits.groupBy("space_id", "memory_id").agg(F.sum(idf * tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * F.col("length") / F.lit(mean)))).alias("score"))
+    share = idf * tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * F.col("length") / F.lit(mean)))
+    shares = hits.groupBy("space_id", "memory_id").agg(F.max(F.lit(0.0)).alias("none"), *(F.sum(F.when(F.col("term") == w, share)).alias(f"share{i}") for i, (w, _) in enumerate(wanted)))
+    return shares.select("space_id", "memory_id", sum((F.coalesce(f"share{i}", F.lit(0.0)) for i in range(len(wanted))), F.col("none")).alias("score"))
 
 
 def term_counts(records: DataFrame) -> DataFrame:
@@ -107,7 +113,7 @@ def bm25(records: DataFrame | LexicalIndex, query: str, k1: float = K1, b: float
     score = F.lit(0.0)
     for i in range(len(wanted)):
         n, df, tf = totals.n, totals[f"df{i}"] or 0.0, F.col(f"tf{i}")
-        idf = F.log1p(F.lit((n - df + 0.5) / (df + 0.5)))
+        idf = F.log(F.lit(1.0 + (n - df + 0.5) / (df + 0.5)))
         score = score + idf * tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * F.col("length") / F.lit(totals.mean or 1.0)))
     hit = F.greatest(F.lit(0.0), F.lit(0.0), *(F.col(f"tf{i}") for i in range(len(wanted)))) > 0
     return counted.where(hit).select("space_id", "memory_id", score.alias("score"))
