@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratalens.llm.common import documents, materialise, text_or_empty
+from stratalens.llm.common import documents, materialise, small_batches, text_or_empty, trimmed
 from stratalens.llm.tokens import encoder
 
 #: Combinations of lengths, each with the copies of each length, and how often it is used.
@@ -162,12 +162,17 @@ def cut(n: int, max_len: int) -> list[tuple[int, int]]:
 _PIECE = "part int, doc_id long, piece int, start long, length long, ids_crc32 long, nth long"
 
 
+#: Pieces of text that a worker's encoder keeps, and rows that it gathers for a batch, where the ids themselves are wanted: sequences of ids take the room.
+KNOWN_WITH_IDS, ROWS_WITH_IDS = 100_000, 500
+
+
 def _pieces(path: str, max_len: int, end_id: int, with_ids: bool):
     fields = [("part", pa.int32()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("nth", pa.int64())]
     schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_many, end, part = encoder(path).encode_many, np.array([end_id], np.uint32).tobytes(), TaskContext.get().partitionId()
+        own_encoder = encoder(path, KNOWN_WITH_IDS) if with_ids else encoder(path)
+        encode_many, end, part = own_encoder.encode_many, np.array([end_id], np.uint32).tobytes(), TaskContext.get().partitionId()
         met: Counter = Counter()
         rows: list[tuple] = []
         give = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
@@ -179,7 +184,7 @@ def _pieces(path: str, max_len: int, end_id: int, with_ids: bool):
                     row = (part, doc, piece, start, length, zlib.crc32(own), met[length])
                     rows.append((*row, np.frombuffer(own, np.uint32).astype(np.int32)) if with_ids else row)
                     met[length] += 1
-                if len(rows) > 5_000:
+                if len(rows) > (ROWS_WITH_IDS if with_ids else 5_000):
                     yield give()
                     rows = []
         if rows:
@@ -217,7 +222,12 @@ def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     spark = df.sparkSession
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     extra = ", ids array<int>" * with_ids
-    pieces = materialise(rows.mapInArrow(_pieces(tokenizer_path, max_len, end_id, with_ids), _PIECE + extra), "pieces")
+    cut_up = _pieces(tokenizer_path, max_len, end_id, with_ids)
+    if with_ids:
+        with small_batches(spark):
+            pieces = materialise(rows.mapInArrow(trimmed(cut_up), _PIECE + extra), "pieces")
+    else:
+        pieces = materialise(rows.mapInArrow(cut_up, _PIECE + extra), "pieces")
     counts = materialise(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "lengths")
     stock = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # max_len rows at most
     layout = spark.sparkContext.broadcast(lay_out(plan_packing(stock, max_len)))
