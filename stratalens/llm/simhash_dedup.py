@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.llm.common import documents, free_name, materialise, shuffle_width, tell_entries, text_or_empty, with_entry_ids
+from stratalens.llm.common import documents, free_name, materialise, shuffle_width, small_batches, tell_entries, text_or_empty, with_entry_ids
 from stratalens.llm.components import connected_components
 from stratalens.llm.jaccard_dedup import drop_similar_texts
 
@@ -38,6 +38,8 @@ ENTRY_IDS, FLUSH_ROWS = 1_000, 200_000
 SMALL_CELL, LARGE_CELL = 64, 20_000
 #: Fingerprints that a task keeps in its sets; beyond, it hands on their trees and begins anew.
 HELD_SETS = 500_000
+#: Bits at which fingerprints propose pairs for an exact check.
+EXACT_BITS = 4
 _SEGMENTS, _HALF = 32, 16
 _POWERS = 3 ** np.arange(_HALF, dtype=np.int64)
 _ODD = np.uint64(0x5555555555555555)
@@ -319,12 +321,15 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """The rows of ``df`` whose id is the smallest of their near-duplicate component.
 
     With ``max_bits`` texts are linked by their fingerprints. Without, those whose sets of shingles have
-    a Jaccard similarity of 0.8 or more: there fingerprints can't give right results, and links come
-    from a prefix join of the sets (``jaccard_dedup``). Rows with a null id stay. Of repeated rows (one
+    a Jaccard similarity of 0.8 or more: ``near_duplicates`` at ``EXACT_BITS`` gives the first pairs, an
+    exact check keeps those of 0.8 or more, and pairs whose fingerprints are farther apart come from a
+    prefix join of the sets (``jaccard_dedup``), which compares what isn't linked yet. Rows with a null id stay. Of repeated rows (one
     id) all stay. Columns and their names are those of ``df``.
     """
     if max_bits is None:
-        return drop_similar_texts(df, id_col, text_col, words)
+        with small_batches(df.sparkSession):
+            near = materialise(near_duplicates(df, id_col, text_col, words, EXACT_BITS).select("doc_id", "component_id"), "near-classes")
+        return drop_similar_texts(df, id_col, text_col, words, near)
     found = near_duplicates(df, id_col, text_col, words, max_bits)
     gone = free_name(df, "gone_id")
     losers = materialise(found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct(), "losers")
