@@ -7,22 +7,28 @@ as often as the counts allow. Counts only fall, so a combination that has run ou
 good. What no exact combination fills goes where the smallest gap still takes it (best fit, longest
 first). The plan says, for each length,
 which ranks of its pieces go to which sequences and offsets; pieces learn their rank from counts per
-part and length, so no length's pieces ever meet in one task.
+part and length, a small file for each part in the shared folder, so no length's pieces ever meet in one
+task, and neither pieces nor their ids are shuffled.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratalens.llm.common import documents, materialise, small_batches, text_or_empty, trimmed
+from stratalens.llm.common import documents, materialise, new_path, small_batches, text_or_empty, trimmed
 from stratalens.llm.tokens import encoder
 
 #: Combinations of lengths, each with the copies of each length, and how often it is used.
@@ -193,19 +199,48 @@ def _pieces(path: str, max_len: int, end_id: int, with_ids: bool):
     return run
 
 
-def _place(layout):
+def _write_bases(folder: str, max_len: int):
+    """For each part a file: how many pieces of each length (0 to ``max_len``) the parts before have. Rows: part, length, base, ascending by part."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = layout.value
-        for batch in batches:
-            length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
-            at = np.searchsorted(x["key"], length << 40 | rank, side="right") - 1
-            nth = rank - (x["key"][at] & ((1 << 40) - 1))
-            sequence, offset = x["first"][at] + nth // x["copies"][at], x["offset"][at] + length * (nth % x["copies"][at])
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(sequence), pa.array(offset)], [*batch.schema.names[:-1], "sequence_id", "offset"])
+        system, root = pyarrow.fs.FileSystem.from_uri(folder)
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        for part, own in groupby(rows, key=itemgetter(0)):
+            base = np.zeros(max_len + 1, "<i8")
+            for _, length, n in own:
+                base[length] = n
+            attempt = f"{root}/_{uuid.uuid4().hex}"
+            with system.open_output_stream(attempt) as out:
+                out.write(base.tobytes())
+            system.move(attempt, f"{root}/{part}")  # whole or not at all, even if two attempts write it
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32())], names=["part"])
 
     return run
 
 
+@lru_cache(maxsize=8)
+def _bases(folder: str, part: int) -> np.ndarray:
+    system, root = pyarrow.fs.FileSystem.from_uri(folder)
+    with system.open_input_file(f"{root}/{part}") as file:
+        return np.frombuffer(file.read(), "<i8")
+
+
+def _place(layout, folder: str):
+    """Sequence and offset of pieces; a function of short columns, so that ids stay where they are."""
+
+    def run(part: pa.Array, length: pa.Array, nth: pa.Array) -> pa.Array:
+        x, part, length, rank = layout.value, part.to_numpy(), length.to_numpy(), nth.to_numpy().copy()
+        for p in np.unique(part).tolist():
+            own = part == p
+            rank[own] += _bases(folder, p)[length[own]]
+        at = np.searchsorted(x["key"], length << 40 | rank, side="right") - 1
+        nth = rank - (x["key"][at] & ((1 << 40) - 1))
+        sequence, offset = x["first"][at] + nth // x["copies"][at], x["offset"][at] + length * (nth % x["copies"][at])
+        return pa.StructArray.from_arrays([pa.array(sequence), pa.array(offset)], ["sequence_id", "offset"])
+
+    return F.arrow_udf(run, "sequence_id long, offset long")
+
+
 def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", max_len: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, [ids,] sequence_id, offset.
 
@@ -233,10 +268,12 @@ def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     layout = spark.sparkContext.broadcast(lay_out(plan_packing(stock, max_len)))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    own = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
-    ranked = pieces.join(base.hint("merge"), ["part", "length"]).select(*own, (F.col("base") + F.col("nth")).alias("rank"))
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + extra + ", sequence_id long, offset long"
-    return ranked.mapInArrow(_place(layout), schema)
+    folder = new_path(spark, "bases")
+    system, root = pyarrow.fs.FileSystem.from_uri(folder)
+    system.create_dir(root)
+    base.repartition("part").sortWithinPartitions("part").mapInArrow(_write_bases(folder, max_len), "part int").count()
+    placed = pieces.withColumn("at", _place(layout, folder)("part", "length", "nth"))
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, "at.sequence_id", "at.offset")
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
