@@ -177,7 +177,8 @@ def write_token_files(df: DataFrame, folder: str, tokenizer_path: str, end_id: i
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     dealt = rows.repartitionByRange(max(2 * shuffle_width(spark), size // PART_BYTES + 1), "id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
     with small_batches(spark):
-        files = materialise(dealt.mapInArrow(trimmed(_write(folder, tokenizer_path, end_id, file_tokens)), _WRITTEN), "token-files")
+        # shuffled, so that the rows of many tasks are few Parquet files: on a local file system without Hadoop's native library the JVM starts three processes for each
+        files = materialise(dealt.mapInArrow(trimmed(_write(folder, tokenizer_path, end_id, file_tokens)), _WRITTEN).repartition("part"), "token-files")
     before = lambda w: F.coalesce(F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = files.groupBy("part").agg(F.sum("tokens").alias("tokens")).select("part", before(Window.orderBy("part")).alias("base"))  # a row for each task
     within = files.withColumn("within", before(Window.partitionBy("part").orderBy("nth")))
@@ -204,7 +205,7 @@ def _read(with_ids: bool):
 def read_token_files(files: DataFrame, with_ids: bool = False) -> DataFrame:
     """The documents of the files that ``write_token_files`` has named: doc_id, start, n_tokens, ids_crc32 [, ids]."""
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    spread = files.select("path", "start").repartition(2 * shuffle_width(files.sparkSession), F.xxhash64("path"))
+    spread = files.select("path", "start").repartition(shuffle_width(files.sparkSession), F.xxhash64("path"))
     return spread.mapInArrow(trimmed(_read(with_ids)), schema)
 
 

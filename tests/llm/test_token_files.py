@@ -66,3 +66,8 @@ def test_columns_named_as_those_within(spark, tmp_path):
     frame = spark.createDataFrame([(1, "a b", *range(7))], ["doc_id", "text", *names])
     got = read_token_files(write_token_files(frame, f"file://{tmp_path}/f", WORDS))
     assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and got.first()[:3] == (1, 0, 3)
+
+
+def test_the_list_of_files_is_few_parquet_files(docs, tmp_path):
+    files = write_token_files(docs([(i, "a b c d") for i in range(500)]), f"file://{tmp_path}/g", WORDS)
+    assert files.count() > 4 and len(files.inputFiles()) == 1  # not one for each task
