@@ -128,6 +128,13 @@ def small_batches(spark: SparkSession, rows: int = 500):
         spark.conf.set(key, before)
 
 
+def short_batches(spark: SparkSession, rows: int = 500) -> None:
+    """The same for all that the session still does: for results that are evaluated after the function that makes them has returned."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A ``mapInArrow`` function that gives freed memory back to the system once its task ends."""
 
